@@ -112,8 +112,8 @@ def segment_offsets(segments: Column) -> Column:
 def from_location(df: DataFrame, feature: str = "feature_ref", segments: str = "segments", keep: list[str] | None = None) -> DataFrame:
     """Feature axis 0..L -> the sequences of its location. Between-positions make ``error`` (they have no length)."""
     keep = keep or []
-    placed = df.select(*keep, F.col(feature).alias("src_ref"), F.explode(segment_offsets(F.col(segments))).alias("x"))
-    return placed.select(
+    placed = df.select(*keep, F.col(feature).alias("src_ref"), F.explode_outer(segment_offsets(F.col(segments))).alias("x"))
+    return placed.where("x IS NOT NULL").select(
         *keep,
         F.col("x.ix").cast("long").alias("ix"),
         "src_ref",
@@ -152,6 +152,27 @@ def cds_error(segments: Column, codon_start: Column, aa_length: Column, leading:
     )
 
 
+def clip_to_coding(placed: DataFrame, codon_start: Column, aa_length: Column, leading: Column, keep: list[str]) -> DataFrame:
+    """Blocks ``src_ref, ix, src (offset), tgt_ref, tgt, len, rev`` of a coding location -> blocks of its protein units.
+
+    A leading partial codon is the protein's first residue, of which only the last ``codon_start - 1`` units exist.
+    """
+    phase = (codon_start - 1).cast("long")
+    skip = F.when(leading, 3 - phase).otherwise(0).cast("long")
+    begin = F.when(leading, F.lit(0)).otherwise(phase).cast("long")
+    staged = placed.withColumn("_skip", skip).withColumn("_begin", begin)
+    staged = staged.withColumn("_lo", F.greatest("src", "_begin"))
+    staged = staged.withColumn("_hi", F.least(F.col("src") + F.col("len"), F.col("_begin") + 3 * aa_length - F.col("_skip")))
+    kept = staged.where("_lo < _hi")
+    tgt = F.when(F.col("rev"), F.col("tgt") + F.col("src") + F.col("len") - F.col("_hi")).otherwise(
+        F.col("tgt") + F.col("_lo") - F.col("src")
+    )
+    return kept.select(
+        *keep, "ix", "src_ref", (F.col("_skip") + F.col("_lo") - F.col("_begin")).cast("long").alias("src"), "tgt_ref",
+        tgt.cast("long").alias("tgt"), (F.col("_hi") - F.col("_lo")).cast("long").alias("len"), "rev",
+    )
+
+
 def cds_mapping(
     df: DataFrame,
     protein: str = "protein",
@@ -161,38 +182,12 @@ def cds_mapping(
     leading: str | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Protein codon units -> nucleotides of its coding location: the location's blocks clipped to the coding units.
-
-    Rows must have passed ``cds_error``. A leading partial codon is the protein's first residue, of which only the last
-    ``codon_start - 1`` units exist in the location.
-    """
+    """Protein codon units -> nucleotides of its coding location. Rows must have passed ``cds_error``."""
     keep = keep or []
     lead = F.col(leading) if leading else F.lit(False)
-    phase = (F.col(codon_start) - 1).cast("long")
-    staged = df.select(
-        *keep,
-        F.col(protein).alias("src_ref"),
-        F.when(lead, 3 - phase).otherwise(0).cast("long").alias("_skip"),
-        F.when(lead, F.lit(0)).otherwise(phase).cast("long").alias("_from"),
-        (3 * F.col(aa_length)).cast("long").alias("_units"),
-        F.explode(segment_offsets(F.col(segments))).alias("x"),
-    )
-    stop = F.col("_from") + F.col("_units") - F.col("_skip")
-    seg_stop = F.col("x.off") + F.col("x.seg.end") - F.col("x.seg.start")
-    lo, hi = F.greatest("x.off", "_from"), F.least(seg_stop, stop)
-    staged = staged.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi")
-    return staged.select(
-        *keep,
-        F.col("x.ix").cast("long").alias("ix"),
-        "src_ref",
-        (F.col("_skip") + F.col("_lo") - F.col("_from")).alias("src"),
-        F.col("x.seg.ref").alias("tgt_ref"),
-        F.when(F.col("x.seg.strand") == -1, F.col("x.seg.end") - (F.col("_hi") - F.col("x.off")))
-        .otherwise(F.col("x.seg.start") + F.col("_lo") - F.col("x.off"))
-        .alias("tgt"),
-        (F.col("_hi") - F.col("_lo")).alias("len"),
-        (F.col("x.seg.strand") == -1).alias("rev"),
-    )
+    options = df.withColumn("_start", F.col(codon_start)).withColumn("_aa", F.col(aa_length)).withColumn("_lead", lead)
+    placed = from_location(options, protein, segments, [*keep, "_start", "_aa", "_lead"])
+    return clip_to_coding(placed, F.col("_start"), F.col("_aa"), F.col("_lead"), keep)
 
 
 def residue_blocks(df: DataFrame, src_begin: str, tgt_begin: str, length: str) -> DataFrame:

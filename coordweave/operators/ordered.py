@@ -68,3 +68,25 @@ def union_intervals(
     match = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col("c") == F.col("_h_c")]
     named = linked.join(carried, match, "left").withColumn("_id", F.coalesce("_open", "_anchor"))
     return named.groupBy(*keys, "_id").agg(F.max("e").alias("end")).withColumnRenamed("_id", "start")
+
+
+def consecutive_groups(
+    df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: Column, name: str = "island"
+) -> DataFrame:
+    """Add ``name``: 0, 1, ... per key, a new number whenever ``values`` differ from the previous row in ``order``."""
+    staged = df.withColumn("_chunk", chunk).withColumn("_v", F.struct(*values))
+    ends = staged.groupBy(*keys, "_chunk").agg(F.max_by("_v", F.struct(*order)).alias("_end"))
+    carried = ends.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_chunk").alias("_k_chunk"),
+        F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_before"),
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = staged.withColumn("_row", F.row_number().over(inside)).withColumn("_prev", F.lag("_v").over(inside))
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_chunk") == F.col("_k_chunk")]
+    joined = local.join(carried, match, "left")
+    prev = F.when(F.col("_row") == 1, F.col("_before")).otherwise(F.col("_prev"))
+    flagged = joined.withColumn("_new", F.when(prev.isNull(), 0).when(prev != F.col("_v"), 1).otherwise(0))
+    flagged = flagged.select(*df.columns, "_new")
+    counted = running_sum(flagged, keys, order, F.col("_new").cast("long"), chunk, "_earlier")
+    return counted.select(*df.columns, (F.col("_earlier") + F.col("_new")).alias(name))
