@@ -74,6 +74,11 @@ CURATED_PATTERNS = (
 )
 
 
+def _unanchored(pattern: str) -> str:
+    """A pattern without its start anchors, to stand after ``namespace:``."""
+    return re.sub(r"(^|[(|:])\^", r"\1", pattern)
+
+
 @dataclass(frozen=True)
 class Namespace:
     """``unit`` holds unless the accession matches ``protein``; ``normalize`` rewrites a valid accession."""
@@ -127,7 +132,7 @@ class Registry:
         return F.lower(prefix).isin(list(self.namespaces))
 
     def _valid(self, prefix: Column, accession: Column) -> Column:
-        parts = [f"{re.escape(name)}:{n.pattern.replace('^', '', 1)}" for name, n in self.namespaces.items()]
+        parts = [f"{re.escape(name)}:(?:{_unanchored(n.pattern)})" for name, n in self.namespaces.items()]
         return F.concat(F.lower(prefix), F.lit(":"), accession).rlike(f"^(?:{'|'.join(parts)})")
 
     def ref_key(self, prefix: Column, accession: Column) -> Column:
@@ -147,7 +152,7 @@ class Registry:
         )
 
     def default_unit(self, ref: Column) -> Column:
-        proteins = [f"{name}:{n.protein.lstrip('^')}" for name, n in self.namespaces.items() if n.protein]
+        proteins = [f"{name}:(?:{_unanchored(n.protein)})" for name, n in self.namespaces.items() if n.protein]
         proteins += [f"{name}:" for name, n in self.namespaces.items() if n.unit == "aa"]
         bases = [f"{name}:" for name, n in self.namespaces.items() if n.unit == "nt"]
         return F.when(ref.rlike(f"^(?:{'|'.join(proteins)})"), "aa").when(ref.rlike(f"^(?:{'|'.join(bases)})"), "nt")
