@@ -16,7 +16,7 @@ ORACLES |= {
         m AS (SELECT o_custkey AS ref, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderstatus <> 'P') AS moltype, arg_min(len, o_orderkey) FILTER (len IS NOT NULL) AS length
               FROM o GROUP BY o_custkey),
         t AS (SELECT o_custkey AS ref, o_orderpriority AS tag, min(o_orderkey) AS first_at FROM orders GROUP BY 1, 2)
-        SELECT m.ref, moltype, length, (SELECT string_agg(tag, '|' ORDER BY first_at) FROM t WHERE t.ref = m.ref) AS tags FROM m""",
+        SELECT m.ref, moltype, coalesce(length, 0) AS length, (SELECT string_agg(tag, '|' ORDER BY first_at) FROM t WHERE t.ref = m.ref) AS tags FROM m""",
     "first_record": "SELECT DISTINCT ON (user_id, event_type) user_id, event_type, event_id, value FROM events ORDER BY user_id, event_type, event_id",
     "edge_cost": f"""WITH x AS (SELECT l_linenumber, CASE l_returnflag WHEN 'A' THEN 'annotation' WHEN 'N' THEN 'alignment' ELSE 'liftover' END AS kind,
           l_linenumber % 3 = 0 AS own, l_discount > 0.09 OR (l_linestatus = 'F' AND NOT (l_discount > 0.02 AND l_tax > 0.04)) AS approximate FROM lineitem)

@@ -42,7 +42,7 @@ def record_merge(spark, sf):
         F.when(F.col("o_totalprice") > 200000, F.floor("o_totalprice")).otherwise(0).cast("long").alias("length"), F.array("o_orderpriority").alias("tags"),
     )
     merged = dims.merge_records(records)
-    return merged.select(F.col("ref"), "moltype", "length", F.array_join("tags", "|").alias("tags"))
+    return merged.select("ref", "moltype", F.coalesce("length", F.lit(0).cast("long")).alias("length"), F.array_join("tags", "|").alias("tags"))
 
 
 @query
