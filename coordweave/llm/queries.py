@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .registry import load, query
+from .license_scan import scan_licenses, scan_sql
+from .mixing import taken_words
+from .packing import pack_documents
+from .quality import quality_rules
+from .registry import ORACLES, load, query
 from .token_count import count_tokens
 
 
@@ -18,3 +22,26 @@ def vocabulary() -> str:
 @query
 def op8_token_counts(spark, sf):
     return count_tokens(load(spark, sf, "documents"), vocabulary())
+
+
+@query
+def op4_best_fit_packing(spark, sf):
+    return pack_documents(load(spark, sf, "documents"), vocabulary())
+
+
+@query
+def op7_source_mix(spark, sf):
+    return taken_words(load(spark, sf, "documents"))
+
+
+@query
+def op10_quality_rules(spark, sf):
+    return quality_rules(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+@query
+def op5_license_scan(spark, sf):
+    return scan_licenses(load(spark, sf, "documents"))
+
+
+ORACLES["op5_license_scan"] = scan_sql()
