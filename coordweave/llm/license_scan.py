@@ -41,7 +41,7 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
     ("all-rights-reserved", "copyright all rights reserved"),
 )
-CONTAINMENT = 0.85
+CONTAINMENT = 0.9
 BLOCK = 64
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
@@ -152,15 +152,15 @@ def scan_sql(phrases: dict[str, str] = PHRASES, templates=TEMPLATES, containment
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrase_rows = ", ".join(f"({listed(p.split())}, '{label}')" for p, label in phrases.items())
     template_rows = ", ".join(f"({listed(sorted(set(t.split())))}, '{label}')" for label, t in templates)
-    split = lambda text: f"list_filter(string_split_regex({text}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+    split = lambda text: f"list_filter(string_split_regex({text}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents),
 w AS (SELECT r, doc_id, t, {split('t')} AS ws FROM d),
 phrases(p, label) AS (VALUES {phrase_rows}),
-places AS (SELECT r, label, unnest(list_filter(range(0, len(ws)), i -> ws[i + 1 : i + len(p)] = p)) AS i FROM w, phrases WHERE list_contains(ws, p[1])),
+places AS (SELECT r, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1 : i + len(p)] = p)) AS i FROM w, phrases WHERE list_contains(ws, p[1])),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS bl FROM places GROUP BY r),
 lines AS (SELECT r, {split('line')} AS ws FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-blocks AS (SELECT r, unnest(CASE WHEN len(ws) <= {BLOCK} THEN [ws] ELSE list_transform(range(0, (len(ws) - {BLOCK} - 1) // {BLOCK // 2} + 2), i -> ws[i * {BLOCK // 2} + 1 : i * {BLOCK // 2} + {BLOCK}]) END) AS b FROM lines WHERE len(ws) > 0),
+blocks AS (SELECT r, unnest(CASE WHEN len(ws) <= {BLOCK} THEN [ws] ELSE list_transform(range(0, (len(ws) - {BLOCK} - 1) // {BLOCK // 2} + 2), lambda i: ws[i * {BLOCK // 2} + 1 : i * {BLOCK // 2} + {BLOCK}]) END) AS b FROM lines WHERE len(ws) > 0),
 templates(tw, label) AS (VALUES {template_rows}),
 hits AS (SELECT r, label, len(list_intersect(tw, b)) / len(tw) AS share FROM blocks, templates WHERE len(list_intersect(tw, b)) >= ceil({containment} * len(tw) - 1e-9)),
 method AS (SELECT r, list(DISTINCT label) AS ml, max(share) AS best FROM hits GROUP BY r)

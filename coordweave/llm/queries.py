@@ -9,6 +9,7 @@ from .mixing import taken_words
 from .packing import pack_documents
 from .quality import quality_rules
 from .registry import ORACLES, load, query
+from .simhash import near_duplicates
 from .token_count import count_tokens
 
 
@@ -45,3 +46,8 @@ def op5_license_scan(spark, sf):
 
 
 ORACLES["op5_license_scan"] = scan_sql()
+
+
+@query
+def op2_simhash_groups(spark, sf):
+    return near_duplicates(load(spark, sf, "documents"))
