@@ -11,6 +11,7 @@ from .quality import quality_rules
 from .registry import ORACLES, load, query
 from .simhash import near_duplicates
 from .token_count import count_tokens
+from .toxicity import score_toxicity
 
 
 def vocabulary() -> str:
@@ -51,3 +52,8 @@ ORACLES["op5_license_scan"] = scan_sql()
 @query
 def op2_simhash_groups(spark, sf):
     return near_duplicates(load(spark, sf, "documents"))
+
+
+@query
+def op1_toxicity(spark, sf):
+    return score_toxicity(load(spark, sf, "documents"), load(spark, sf, "labels"))
