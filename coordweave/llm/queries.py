@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .embedding_join import near_vectors
 from .license_scan import scan_licenses, scan_sql
 from .mixing import taken_words
 from .packing import pack_documents
@@ -57,3 +58,22 @@ def op2_simhash_groups(spark, sf):
 @query
 def op1_toxicity(spark, sf):
     return score_toxicity(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+@query
+def op3_embedding_groups(spark, sf):
+    return near_vectors(load(spark, sf, "embeddings"))
+
+
+ORACLES["op3_embedding_groups"] = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND list_inner_product(v, v) > 0),
+u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM ok),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  AND list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, low.component_id, e.vec_id = low.component_id AS kept
+FROM e JOIN low ON low.a = e.vec_id LEFT JOIN links ON links.a = e.vec_id"""
