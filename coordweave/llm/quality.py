@@ -21,7 +21,7 @@ SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 18  # the table of ratios is broadcast: 2^18 rows of (int, float) at most, whatever the corpus
 TRUSTED_ROWS = 20_000  # trusted documents that are sampled, about
 SMOOTHING = 20.0
-THRESHOLD = -0.25
+THRESHOLD = -0.05
 MIN_WORDS = 50
 
 
