@@ -10,6 +10,7 @@ from .mixing import taken_words
 from .packing import pack_documents
 from .quality import quality_rules
 from .registry import ORACLES, load, query
+from .run_index import repeat_digests
 from .simhash import near_duplicates
 from .token_count import count_tokens
 from .toxicity import score_toxicity
@@ -77,3 +78,8 @@ low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, low.component_id, e.vec_id = low.component_id AS kept
 FROM e JOIN low ON low.a = e.vec_id LEFT JOIN links ON links.a = e.vec_id"""
+
+
+@query
+def op6_repeated_bytes(spark, sf):
+    return repeat_digests(load(spark, sf, "documents"))
