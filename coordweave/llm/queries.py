@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .compact_windows import near_passages
 from .embedding_join import near_vectors
 from .license_scan import scan_licenses, scan_sql
 from .mixing import taken_words
@@ -83,3 +84,8 @@ FROM e JOIN low ON low.a = e.vec_id LEFT JOIN links ON links.a = e.vec_id"""
 @query
 def op6_repeated_bytes(spark, sf):
     return repeat_digests(load(spark, sf, "documents"))
+
+
+@query
+def op9_near_passages(spark, sf):
+    return near_passages(load(spark, sf, "documents"))
