@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, numbered
 
 LENGTH = 200
 ANCHOR = 64
@@ -316,18 +316,10 @@ def removed_spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.
     return start[new], end[np.concatenate([new[1:], [True]])]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique ``rid``: the id if it is one, else a number written with the rows."""
-    facts = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if facts["n"] == facts["ids"] and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
-        return docs.withColumn("rid", F.col("doc_id").cast("long"))
-    return keep(docs.withColumn("rid", F.monotonically_increasing_id()))
-
-
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    numbered = _numbered(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    marks = mark_repeats(numbered.select("rid", "text"), length).withColumnRenamed("rid", "_rid")
-    return numbered.join(marks, F.col("rid") == F.col("_rid"), "left")
+    named = numbered(docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    marks = mark_repeats(named.select("rid", "text"), length).withColumnRenamed("rid", "_rid")
+    return named.join(marks, F.col("rid") == F.col("_rid"), "left")
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep
+from .common import components, keep, numbered
 
 BITS, BLOCK = 64, 16
 MAX_DISTANCE = 3
@@ -150,3 +150,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "_label")
     named = labelled.join(smallest, F.col("label") == F.col("_label")).select(F.col("fp").alias("_fp"), "component_id")
     return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: that of the smallest id, where ids are unique."""
+    rows = numbered(docs)
+    marks = near_duplicates(rows.select(F.col("rid").alias("doc_id"), "text"))
+    lost = marks.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
+    return rows.join(lost, F.col("rid") == F.col("_lost"), "left_anti").select(*docs.columns)
