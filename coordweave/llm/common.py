@@ -19,11 +19,11 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique ``rid``: the id if it is one, else a number written with the rows."""
+    """``docs`` with a unique ``_llm_rid``: the id if it is one, else a number written with the rows."""
     facts = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     if facts["n"] == facts["ids"] and dict(docs.dtypes)["doc_id"] in ("bigint", "int"):
-        return docs.withColumn("rid", F.col("doc_id").cast("long"))
-    return keep(docs.withColumn("rid", F.monotonically_increasing_id()))
+        return docs.withColumn("_llm_rid", F.col("doc_id").cast("long"))
+    return keep(docs.withColumn("_llm_rid", F.monotonically_increasing_id()))
 
 
 def components(edges: DataFrame) -> DataFrame:

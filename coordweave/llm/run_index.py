@@ -318,8 +318,9 @@ def removed_spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     named = numbered(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    marks = mark_repeats(named.select("rid", "text"), length).withColumnRenamed("rid", "_rid")
-    return named.join(marks, F.col("rid") == F.col("_rid"), "left")
+    marks = mark_repeats(named.select(F.col("_llm_rid").alias("rid"), "text"), length)
+    marks = marks.select(F.col("rid").alias("_llm_marked"), F.col("spans").alias("_llm_spans"))
+    return named.join(marks, F.col("_llm_rid") == F.col("_llm_marked"), "left")
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -339,7 +340,7 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    marked = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length).select("doc_id", "text", "spans")
+    marked = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length).select("doc_id", "text", F.col("_llm_spans").alias("spans"))
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -369,5 +370,5 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     names = docs.columns
     marked = _with_spans(docs.select(*names), length)
-    changed = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
+    changed = F.when(F.col("_llm_spans").isNull(), F.col("text")).otherwise(cut("text", "_llm_spans"))
     return marked.withColumn("text", changed).select(*names)

@@ -155,6 +155,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of every component: that of the smallest id, where ids are unique."""
     rows = numbered(docs)
-    marks = near_duplicates(rows.select(F.col("rid").alias("doc_id"), "text"))
-    lost = marks.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost"))
-    return rows.join(lost, F.col("rid") == F.col("_lost"), "left_anti").select(*docs.columns)
+    marks = near_duplicates(rows.select(F.col("_llm_rid").alias("doc_id"), "text"))
+    lost = marks.where("doc_id <> component_id").select(F.col("doc_id").alias("_llm_lost"))
+    return rows.join(lost, F.col("_llm_rid") == F.col("_llm_lost"), "left_anti").select(*docs.columns)

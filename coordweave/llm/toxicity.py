@@ -10,7 +10,8 @@ every task.
 
 Defined results: a null or empty text has features of zero and gets a score; repeated rows get equal scores; without
 labelled rows of both classes every score is the share of toxic rows (0 without any); an empty table gives no rows;
-columns other than ``doc_id`` and ``text`` are ignored.
+columns other than ``doc_id`` and ``text`` are ignored
+(those of ``drop_toxic`` are kept; names that begin with an underscore are reserved).
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     draw = F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30))
     chosen = known.where(draw < int(share * (1 << 30))).withColumn("calibrates", F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.lit(4)) == 0)
     # The ids of the sample are bounded; a document given twice counts once.
-    joined = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"])
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"])
     return joined.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "calibrates")
 
 
