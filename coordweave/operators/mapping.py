@@ -47,10 +47,9 @@ def invert(blocks: DataFrame) -> DataFrame:
 
 
 def concat(*mappings: DataFrame) -> DataFrame:
-    """All blocks, each later mapping ordered after the earlier ones: ``ix`` becomes (mapping << 40) + ix."""
-    step = 1 << 40
-    shifted = [m.withColumn("ix", F.col("ix") + F.lit(n * step)) for n, m in enumerate(mappings)]
-    return reduce(DataFrame.unionByName, shifted)
+    """All blocks, each later mapping ordered after the earlier ones: ``ix`` becomes the pair (mapping, ix)."""
+    placed = [m.withColumn("ix", F.struct(F.lit(n).alias("mapping"), F.col("ix").alias("ix"))) for n, m in enumerate(mappings)]
+    return reduce(DataFrame.unionByName, placed)
 
 
 def compose(

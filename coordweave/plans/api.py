@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.faldo import encode_location_id, faldo_json
@@ -11,8 +11,8 @@ from ..functions.namespaces import Registry, infer_namespace, namespace_of
 from ..operators import dims, search
 from .store import StoreSet, annotation_ids
 
-# Preferred records and limits of the request API.
-PREFER, MAX_INPUT_LENGTH = ("MANE Select",), 1_000_000
+# Preferred records of the request API.
+PREFER = ("MANE Select",)
 
 
 class Coordinates:
@@ -69,7 +69,7 @@ class Coordinates:
         wanted = name.strip().lower()
         common = F.regexp_extract(F.lower("n"), r"\((.*)\)\s*$", 1)
         hit = (F.lower("n") == wanted) | (F.lower(dims.plain_name(F.col("n"))) == wanted) | (common == wanted) | common.endswith(f" {wanted}")
-        rows = self.species.select("taxon", F.explode("names").alias("n")).where(hit).select("taxon").distinct().limit(1).collect()
+        rows = self.species.select("taxon", F.explode("names").alias("n")).where(hit).select(F.min("taxon").alias("taxon")).where("taxon IS NOT NULL").collect()
         if not rows:
             raise ValueError(f"unknown species '{name}' (an NCBI taxon ID or a loaded organism name)")
         return rows[0].taxon
@@ -78,20 +78,24 @@ class Coordinates:
 
     def convert(
         self, df: DataFrame, to=(), taxon=None, assembly: str | None = None, max_hops: int | None = None, codon: str = "auto", tag=(), db=(),
-        min_match: float | None = None, max_results: int | None = None, prefer=PREFER, text: str = "text",
+        min_match: float | None = None, max_results: int | None = None, prefer=PREFER, text: str = "text", max_units: int | None = None,
     ) -> tuple[DataFrame, DataFrame]:
-        """(results, errors). ``tag``, ``db`` and ``min_match`` filter before ``max_results`` cuts each input's list."""
+        """(results, errors). ``tag``, ``db`` and ``min_match`` filter before ``max_results`` cuts each input's list.
+
+        ``max_units``: longer inputs are refused, on request.
+        """
         if min_match is not None and not 0 <= min_match <= 1:
             raise ValueError(f"minMatch must be a number between 0 and 1 (got '{min_match}')")
-        if max_hops is not None and not 0 <= max_hops <= 8:
-            raise ValueError("maxHops must be between 0 and 8")
+        if max_hops is not None and max_hops < 0:
+            raise ValueError("maxHops must not be negative")
         for name in db:
             if name.lower() not in self.registry.namespaces:
                 raise ValueError(f"unknown database '{name}' (a namespace such as refseq, ensembl, uniprot, pdb)")
         parsed = self.read(df, text)
-        units = F.aggregate("segments", F.lit(0.0), lambda n, s: n + (s["end"] - s["start"]) / F.when(s["unit"] == "aa", 3).otherwise(1))
-        too_long = F.when(units > MAX_INPUT_LENGTH, F.concat(F.lit("input location spans "), units.cast("long"), F.lit(f" bases/residues; at most {MAX_INPUT_LENGTH} are converted per request")))
-        parsed = parsed.withColumn("error", F.coalesce("error", too_long))
+        if max_units is not None:
+            units = F.aggregate("segments", F.lit(0.0), lambda n, s: n + (s["end"] - s["start"]) / F.when(s["unit"] == "aa", 3).otherwise(1))
+            too_long = F.concat(F.lit("input location spans "), units.cast("long"), F.lit(f" bases/residues; at most {max_units} are converted per request"))
+            parsed = parsed.withColumn("error", F.coalesce("error", F.when(units > max_units, too_long)))
         errors = parsed.where("error IS NOT NULL").select("query_id", text, "error", "position")
         options = search.Options(
             to=list(to), max_hops=max_hops, prefer=list(prefer), taxon=self.taxon_of_name(str(taxon)) if taxon is not None else None, assembly=assembly,
@@ -105,8 +109,6 @@ class Coordinates:
         if min_match is not None:
             found = found.where(F.col("coverage") >= min_match)
         if max_results is not None and (tag or db or min_match is not None):
-            from pyspark.sql import Window
-
             found = found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("result_ix"))).where(F.col("_n") <= max_results).drop("_n")
         return found, errors
 
@@ -137,9 +139,10 @@ class Coordinates:
     def annotations_across(self, df: DataFrame, assembly: str, text: str = "text") -> DataFrame:
         """Annotations recorded on another assembly: the input is lifted there, each annotation is lifted back."""
         parsed = self.read(df, text).where("error IS NULL")
-        options = search.Options(to=["genome"], assembly=assembly, max_hops=1, max_results=1)
+        options = search.Options(to=["genome"], assembly=assembly, max_hops=1)
         there = search.convert(parsed, self.edges, self.blocks, self.scope, options, self.species, None, self.registry)
-        there = there.select("query_id", "outer", "kind", "segments", F.col("id").alias("via"))
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy("result_ix"))
+        there = there.withColumn("_nth", best).where("_nth = 1").select("query_id", "outer", "kind", "segments", F.col("id").alias("via"))
         table = self.annotations.withColumn("annotation_ix", F.struct("store_ord", "annotation_ix"))
         met = dims.annotations_at(there, table, ["query_id"]).join(there.select("query_id", "via"), "query_id")
         spots = met.select(F.col("location").alias("query_id"), F.col("location").alias("text")).distinct()

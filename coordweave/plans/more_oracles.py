@@ -77,3 +77,11 @@ ORACLES |= {
         SELECT f AS query_id, 'refseq:NC_' || t AS outer, 1 AS cost, 1 AS hops, {_sum('fresh')} AS parts,
           least(1.0::DOUBLE, floor(CAST(sum(len) AS DOUBLE) / CAST(any_value(n) AS DOUBLE) * 1000 + 0.5) / 1000) AS coverage FROM k JOIN o USING (f) GROUP BY f, t""",
 }
+
+# The best line over every stretch between two ends of lines, neighbouring stretches of one line joined.
+ORACLES["paf_one_to_one"] = f"""WITH {SEG}, s AS (SELECT 's' || t AS qname, f || ':' || src AS rec, f, src, tgt AS a, tgt + len AS b, len FROM seg WHERE len > 0),
+    p AS (SELECT qname, a AS x FROM s UNION SELECT qname, b FROM s), e AS (SELECT qname, x, lead(x) OVER (PARTITION BY qname ORDER BY x) AS y FROM p),
+    o AS (SELECT e.qname, x, y, arg_min(rec, ROW(-len, f, src)) AS rec FROM e JOIN s ON s.qname = e.qname AND s.a <= x AND y <= s.b GROUP BY 1, 2, 3),
+    n AS (SELECT *, CASE WHEN lag(rec) OVER w = rec AND lag(y) OVER w = x THEN 0 ELSE 1 END AS fresh FROM o WINDOW w AS (PARTITION BY qname ORDER BY x)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY qname ORDER BY x) AS run FROM n)
+    SELECT qname, rec, CAST(min(x) AS BIGINT) AS free_start, CAST(max(y) AS BIGINT) AS free_end FROM g GROUP BY qname, run, rec"""

@@ -167,7 +167,7 @@ def paf_one_to_one(spark, sf):
     """Lines compete for the positions of their supplier: longest first."""
     items = _items(spark, sf)
     spans = items.select(
-        F.concat(F.lit("s"), "t").alias("qname"), F.concat_ws(":", "f", "src").alias("rec"), F.format_string("%015d.%015d", "f", "src").alias("place"), F.col("start").alias("qstart"),
+        F.concat(F.lit("s"), "t").alias("qname"), F.concat_ws(":", "f", "src").alias("rec"), F.struct("f", "src").alias("place"), F.col("start").alias("qstart"),
         F.col("stop").alias("qend"), F.col("len").alias("nmatch"), F.col("len").cast("double").alias("score"),
     )
     return al.one_to_one(spans)
@@ -263,7 +263,7 @@ def path_search(spark, sf):
     lay = tb.layout(spark, sf)
     names = lambda c, p: F.concat(F.lit(p), F.col(c))
     base = lay.select(
-        F.concat_ws(":", "f", "t").alias("edge_key"), (F.col("f") * (1 << 20) + F.col("src")).alias("ix"), names("f", "refseq:NM_").alias("src_ref"), "src",
+        F.concat_ws(":", "f", "t").alias("edge_key"), F.col("src").alias("ix"), names("f", "refseq:NM_").alias("src_ref"), "src",
         names("t", "refseq:NC_").alias("tgt_ref"), "tgt", "len", "rev",
     )
     edges = lay.select("f", "t").distinct().select(

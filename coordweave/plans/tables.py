@@ -29,7 +29,7 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order axis -> supplier axis, one block per line item. ``ix`` is unique and grows along an order."""
     return layout(spark, sf_dir).select(
-        F.col("f").alias("edge_key"), (F.col("f") * (1 << 20) + F.col("src")).alias("ix"), F.col("f").alias("src_ref"),
+        F.col("f").alias("edge_key"), F.struct("f", "src").alias("ix"), F.col("f").alias("src_ref"),
         "src", F.col("t").alias("tgt_ref"), "tgt", "len", "rev",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.location import SEGMENT, extent, format_location_id, parse_locations
@@ -37,12 +37,14 @@ def parse_gff3(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     used = lines.join(end, "file", "left").where("_end IS NULL OR place < _end")
     words = F.split(F.trim("value"), r"\s+")
     regions = used.where("startswith(value, '##sequence-region')").select(
-        uri_decode(F.get(words, F.lit(1))).alias("seqid"), F.get(words, F.lit(3)).cast("long").alias("length")
+        uri_decode(F.get(words, F.lit(1))).alias("seqid"), F.get(words, F.lit(3)).try_cast("long").alias("length")
     )
     regions = regions.groupBy("seqid").agg(F.max("length").alias("length"))
     cells = used.where("value <> '' AND NOT startswith(value, '#')").withColumn("f", F.split("value", "\t", -1))
     errors = cells.where("size(f) <> 9").select("file", "place", F.concat(F.lit("expected 9 columns, found "), F.size("f")).alias("message"))
     c = lambda i: F.get("f", F.lit(i))
+    malformed = (F.size("f") == 9) & (c(3).try_cast("long").isNull() | c(4).try_cast("long").isNull())
+    errors = errors.unionByName(cells.where(malformed).select("file", "place", F.concat(F.lit("malformed coordinates: "), c(3), F.lit(", "), c(4)).alias("message")))
     pairs = F.filter(F.split(c(8), ";"), lambda p: p.contains("="))
     named = F.transform(
         pairs,
@@ -51,14 +53,14 @@ def parse_gff3(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             F.transform(F.split(F.regexp_extract(p, "^[^=]*=(.*)$", 1), ",", -1), uri_decode).alias("value"),
         ),
     )
-    rows = cells.where("size(f) = 9").withColumn("_a", named)
+    rows = cells.where((F.size("f") == 9) & ~malformed).withColumn("_a", named)
     # The last value of a repeated name wins.
     last = F.filter("_a", lambda p, i: ~F.exists(F.slice("_a", i + 2, F.size("_a") + 1), lambda q: q["key"] == p["key"]))
     rows = rows.select(
-        "file", "place", uri_decode(c(0)).alias("seqid"), c(1).alias("source"), c(2).alias("type"), c(3).cast("long").alias("start"),
-        c(4).cast("long").alias("end"), F.when(c(5) != ".", c(5).try_cast("double")).alias("score"),
+        "file", "place", uri_decode(c(0)).alias("seqid"), c(1).alias("source"), c(2).alias("type"), c(3).try_cast("long").alias("start"),
+        c(4).try_cast("long").alias("end"), F.when(c(5) != ".", c(5).try_cast("double")).alias("score"),
         F.when(c(6).isin("+", "-", ".", "?"), c(6)).otherwise(".").alias("strand"), F.when(c(7).isin("0", "1", "2"), c(7).cast("int")).alias("phase"),
-        F.map_from_entries(last).alias("attributes"),
+        F.map_from_entries(last).alias("attributes"), F.md5("value").alias("line"),
     )
     return rows, regions, errors
 
@@ -69,8 +71,11 @@ def first_attribute(name: str, column: str = "attributes") -> Column:
 
 def group_features(rows: DataFrame) -> DataFrame:
     """Rows sharing (seqid, ID) form one feature wherever they stand; rows without an ID stand alone."""
-    own = F.concat(F.lit("\x00"), F.format_string("%020d.%020d", "place.split", "place.row"))
-    keyed = rows.withColumn("id", first_attribute("ID")).withColumn("key", F.coalesce("id", own))
+    # A row without an ID is named by its line (and its number among equal lines), which no split of the file can change.
+    named = rows.withColumn("id", first_attribute("ID"))
+    alone = named.where("id IS NULL").withColumn("_nth", F.row_number().over(Window.partitionBy("file", "line").orderBy("place")))
+    alone = alone.withColumn("key", F.concat(F.lit("\x00"), "line", F.lit("."), "_nth")).drop("_nth")
+    keyed = named.where("id IS NOT NULL").withColumn("key", F.col("id")).unionByName(alone)
     row = F.struct("place", "start", "end", "strand", "phase", first_attribute("start_range").alias("from_mark"), F.get(F.try_element_at("attributes", F.lit("end_range")), F.lit(1)).alias("to_mark"), first_attribute("Target").alias("target"), first_attribute("Gap").alias("gap"))
     return keyed.groupBy("file", "seqid", "key").agg(
         F.first("id", ignorenulls=True).alias("id"), F.min_by("type", "place").alias("type"), F.min_by("attributes", "place").alias("attributes"),
@@ -272,8 +277,9 @@ def target_blocks(alignments: DataFrame, registry: Registry) -> tuple[DataFrame,
     checked = checked.withColumn("error", F.coalesce("error", F.when(F.col("from_ref") != F.col("_other"), "rows target different sequences"))).drop("_other")
     up, along = F.col("r.strand") == "+", F.col("tstrand") == "+"
     runs = flat.select("*", F.posexplode("g.runs").alias("run_ix", "m"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("row_ix", "run_ix")) - 1
     blocks = runs.select(
-        *keys, (F.col("row_ix") * F.lit(1 << 20).cast("long") + F.col("run_ix")).alias("ix"), "src_ref",
+        *keys, nth.cast("long").alias("ix"), "src_ref",
         F.when(along, F.col("ts") - 1 + F.col("m.t")).otherwise(F.col("te") - F.col("m.t") - F.col("m.n")).alias("src"), "tgt_ref",
         F.when(up, F.col("r.start") - 1 + F.col("m.g")).otherwise(F.col("r.end") - F.col("m.g") - F.col("m.n")).alias("tgt"), F.col("m.n").alias("len"), (up != along).alias("rev"),
     )
