@@ -1,6 +1,7 @@
 """SQL counterparts of the further registered queries."""
 
-from .oracles import ORACLES, NEIGHBOURS, RESIDUES, SEG
+from .oracles import NEIGHBOURS, ORACLES, RESIDUES, SEG
+from .queries import LOCATION_TEXT
 
 LONGS = "CAST(sum({0}) AS BIGINT)"
 
@@ -33,8 +34,10 @@ ORACLES |= {
         SELECT h.ref, hour, count(*) AS n, min(event_id) AS first_event FROM h JOIN e ON e.ref = h.ref AND e.sec >= hour * 3600 - 900 AND e.sec < hour * 3600 + 4500 GROUP BY 1, 2""",
     "mismatch_lookup": f"""WITH {SEG} SELECT x.f, x.t, x.src AS block, count(*) AS n, min(y.tgt + y.len % 13) AS first_pos
         FROM seg x JOIN seg y ON x.f = y.f AND x.t = y.t AND y.tgt + y.len % 13 BETWEEN x.tgt AND x.tgt + x.len - 1 GROUP BY 1, 2, 3""",
-    "store_summary": f"""SELECT 'kind' AS what, l_returnflag AS name, count(*) AS n, {_sum('CAST(l_quantity AS BIGINT)')} AS units FROM lineitem GROUP BY 2
-        UNION ALL SELECT 'taxon', CAST(l_suppkey AS VARCHAR), count(*), {_sum('CAST(l_quantity AS BIGINT)')} FROM lineitem GROUP BY 2""",
+    "store_summary": """SELECT 'moltype' AS what, coalesce(CASE WHEN p_size > 5 THEN p_brand END, 'unknown') AS name, count(*) AS n FROM part GROUP BY 2
+        UNION ALL SELECT 'kind', l_returnflag, count(*) FROM lineitem GROUP BY 2
+        UNION ALL SELECT 'taxon', CAST(p_size AS VARCHAR), count(*) FROM part WHERE p_size <> 7 GROUP BY 2
+        UNION ALL SELECT 'blocks', 'all', count(*) FROM lineitem UNION ALL SELECT 'annotations', 'all', count(*) FROM events""",
     "category_of": """WITH x AS (SELECT CASE l_linenumber WHEN 1 THEN 'genome' WHEN 2 THEN 'transcript' WHEN 3 THEN 'gene_region' WHEN 4 THEN 'protein'
           WHEN 5 THEN 'transcript' WHEN 6 THEN 'other' ELSE 'genome' END AS category, CASE WHEN l_linenumber = 4 THEN 'aa' ELSE 'nt' END AS unit FROM lineitem)
         SELECT category, unit, CASE category WHEN 'genome' THEN 0 WHEN 'gene_region' THEN 1 WHEN 'transcript' THEN 2 WHEN 'protein' THEN 3 ELSE -1 END AS layer, count(*) AS n FROM x GROUP BY 1, 2""",
@@ -85,3 +88,47 @@ ORACLES["paf_one_to_one"] = f"""WITH {SEG}, s AS (SELECT 's' || t AS qname, f ||
     n AS (SELECT *, CASE WHEN lag(rec) OVER w = rec AND lag(y) OVER w = x THEN 0 ELSE 1 END AS fresh FROM o WINDOW w AS (PARTITION BY qname ORDER BY x)),
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY qname ORDER BY x) AS run FROM n)
     SELECT qname, rec, CAST(min(x) AS BIGINT) AS free_start, CAST(max(y) AS BIGINT) AS free_end FROM g GROUP BY qname, run, rec"""
+
+ORACLES["sequence_digest"] = f"""WITH {RESIDUES}, g AS (SELECT r, min(doc_id) AS same_as, count(*) AS copies FROM res GROUP BY r HAVING count(*) > 1)
+    SELECT doc_id, md5(res.r) AS md5, true AS well_formed, coalesce(same_as, doc_id) AS same_as, coalesce(copies, 1) AS copies FROM res LEFT JOIN g ON g.r = res.r"""
+
+# Isolated changes to a residue that stands nowhere else leave one way to align, with one pair per residue.
+ORACLES["protein_alignment"] = """WITH x AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', 'X', 'g')) AS r FROM documents),
+    n AS (SELECT doc_id, r, length(r) + 34 AS total, length(r) // 50 AS changed FROM x)
+    SELECT doc_id, CAST(total - changed AS BIGINT) AS identical, CAST(total AS BIGINT) AS aligned, 1 AS blocks,
+      coalesce(array_to_string(list_transform(range(1, changed + 1), lambda k: (18 + 50 * k) || '/' || (18 + 50 * k) || ':' || r[50 * k] || '>*'), ';'), '') AS substitutions FROM n"""
+
+
+def _faldo_sql() -> str:
+    """FALDO text of the seven forms of location that lines are written in."""
+    context = '{"@context":{"faldo":"http://biohackathon.org/resource/faldo#","rdf":"http://www.w3.org/1999/02/22-rdf-syntax-ns#","cod":"urn:codon#"},"@id":"https://example.org/refseq:NC_'
+
+    def at(number: str, strand: str = "Forward", sort: str = "Exact") -> str:
+        return f"""'{{"@type":["faldo:{sort}Position","faldo:{strand}StrandPosition"],"faldo:position":' || ({number}) || ',"faldo:reference":{{"@id":"https://identifiers.org/refseq:NC_' || l_orderkey || '"}}}}'"""
+
+    def pair(sort: str, first: str, second: str, names: tuple[str, str] = ("begin", "end")) -> str:
+        return f"""'{{"@type":"faldo:{sort}","faldo:{names[0]}":' || {first} || ',"faldo:{names[1]}":' || {second} || '}}'"""
+
+    def alone(ident: str, node: str) -> str:
+        return f"""'{context}' || l_orderkey || ':' || {ident} || '",' || substr({node}, 2)"""
+
+    def several(sort: str, ident: str, one: str, two: str) -> str:
+        return f"""'{context}' || l_orderkey || ':' || {ident} || '","@type":"faldo:{sort}","rdf:_1":' || {one} || ',"rdf:_2":' || {two} || '}}'"""
+
+    p, s, q = "l_partkey", "l_suppkey", "CAST(l_quantity AS BIGINT)"
+    stretch = f"CASE WHEN {q} = 1 THEN {at(f'{s} + 1')} ELSE {pair('Region', at(f'{s} + 1'), at(f'{s} + {q}'))} END"
+    spelled = f"({s} + 1) || CASE WHEN {q} = 1 THEN '' ELSE '..' || ({s} + {q}) END"
+    forms = [
+        alone(f"({p} + 1)", at(f"{p} + 1")),
+        alone(f"({p} + 1) || '..' || ({p} + 1 + {q})", pair("Region", at(f"{p} + 1"), at(f"{p} + 1 + {q}"))),
+        alone(f"'complement(%3C' || ({p} + 1) || '..%3E' || ({p} + 1 + {q}) || ')'", pair("Region", at(f"{p} + 1 + {q}", "Reverse", "Fuzzy"), at(f"{p} + 1", "Reverse", "Fuzzy"))),
+        several("ListOfRegions", f"'complement(join(' || ({s} + 1) || '..' || ({s} + 3) || ',' || ({p} + 9000) || '))'", at(f"{p} + 9000", "Reverse"), pair("Region", at(f"{s} + 3", "Reverse"), at(f"{s} + 1", "Reverse"))),
+        several("ListOfRegions", f"'complement(join(' || ({s} + 1) || ',' || ({p} + 1) || '..' || ({p} + 5) || '))'", pair("Region", at(f"{p} + 5", "Reverse"), at(f"{p} + 1", "Reverse")), at(f"{s} + 1", "Reverse")),
+        f"CASE WHEN {s} % 2 = 0 THEN " + alone(f"({p} + 1) || '%5E' || ({p} + 2)", pair("InBetweenPosition", at(f"{p} + 1"), at(f"{p} + 2"), ("after", "before"))) + " END",
+        several("BagOfRegions", f"'order(' || ({p} + 1) || '.' || ({p} + 1 + {q}) || ',' || {spelled} || ')'", pair("InRangePosition", at(f"{p} + 1"), at(f"{p} + 1 + {q}")), stretch),
+    ]
+    text = LOCATION_TEXT.replace("concat(", "concat('', ")
+    return f"SELECT l_linenumber, concat('refseq:NC_', l_orderkey, ':', {text}) AS text, CASE l_linenumber " + " ".join(f"WHEN {n} THEN {form}" for n, form in enumerate(forms, 1)) + " END AS faldo FROM lineitem"
+
+
+ORACLES["location_faldo"] = _faldo_sql()

@@ -15,6 +15,7 @@ from ..operators.validate import MAX_MISMATCH_RATE, align_proteins, sampled_iden
 from ..sources import alignments as al
 from ..sources import fasta, features, tabular
 from . import tables as tb
+from .store import summary as store_counts
 from .queries import SHORT, _location_texts, _neighbour_blocks, query
 
 
@@ -99,9 +100,13 @@ def annotation_overlap(spark, sf):
     events = tb.load(spark, sf, "events").select("event_id", F.col("user_id").alias("ref"), tb.seconds("ts").alias("at"))
     hours = events.select("ref", F.expr("at div 3600").alias("hour")).distinct()
     windows = hours.select("ref", "hour", F.greatest(F.col("hour") * 3600 - 900, F.lit(0)).alias("start"), (F.col("hour") * 3600 + 4500).alias("end"))
-    points = events.select("ref", "event_id", F.col("at").alias("p_start"), (F.col("at") + 1).alias("p_end"))
-    met = overlap_join(windows, points, ["ref"], ("start", "end"), ("p_start", "p_end"), (13,))
-    return met.groupBy("ref", "hour").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+    segment = lambda lo, hi: F.array(F.struct("ref", lo.alias("start"), hi.alias("end")))
+    points = events.select(
+        F.col("event_id").alias("annotation_ix"), F.lit("event").alias("type"), F.col("event_id").cast("string").alias("location"), segment(F.col("at"), F.col("at") + 1).alias("segments")
+    )
+    asked = windows.select(F.col("ref").alias("user"), "hour", segment(F.col("start"), F.col("end")).alias("segments"))
+    met = dims.annotations_at(asked, points, ["user", "hour"], (13,))
+    return met.groupBy(F.col("user").alias("ref"), "hour").agg(F.count("*").alias("n"), F.min("annotation_ix").alias("first_event"))
 
 
 @query
@@ -116,10 +121,10 @@ def mismatch_lookup(spark, sf):
 
 @query
 def store_summary(spark, sf):
-    items = tb.load(spark, sf, "lineitem")
-    kinds = items.groupBy(F.lit("kind").alias("what"), F.col("l_returnflag").alias("name")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("units"))
-    taxa = items.groupBy(F.lit("taxon").alias("what"), F.col("l_suppkey").cast("string").alias("name")).agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("units"))
-    return kinds.unionByName(taxa)
+    """Counts of a store whose edges are lines, whose sequences are parts and whose annotations are events."""
+    sequences = tb.load(spark, sf, "part").select(F.when(F.col("p_size") > 5, F.col("p_brand")).alias("moltype"), F.when(F.col("p_size") != 7, F.col("p_size")).alias("taxon"))
+    edges = tb.load(spark, sf, "lineitem").select(F.col("l_returnflag").alias("kind"))
+    return store_counts(sequences, edges, tb.blocks(spark, sf), tb.load(spark, sf, "events"))
 
 
 @query
@@ -143,9 +148,10 @@ def namespace_guess(spark, sf):
 
 @query
 def location_faldo(spark, sf):
-    parsed = parse_locations(_location_texts(spark, sf)).where("error IS NULL")
+    parsed = parse_locations(_location_texts(spark, sf))
     ident = format_location_id(F.col("outer"), F.col("kind"), F.col("segments"))
-    return parsed.select("query_id", faldo_json(ident, F.col("kind"), F.col("segments"), "https://example.org/").alias("faldo"))
+    text = faldo_json(ident, F.col("kind"), F.col("segments"), "https://example.org/")
+    return parsed.select("l_linenumber", "text", F.when(F.col("error").isNull(), text).alias("faldo"))
 
 
 # ---- formats -------------------------------------------------------------------------------------------------------
@@ -251,10 +257,14 @@ def mismatch_rate(spark, sf):
 
 @query
 def protein_alignment(spark, sf):
-    """Items of the benchmark table, as letters only, aligned with the item before them."""
-    letters = tb.load(spark, sf, "benchmark").select("item_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("r"))
-    before = letters.select((F.col("item_id") + 1).alias("item_id"), F.col("r").alias("q"))
-    return letters.join(before, "item_id").select("item_id", align_proteins(F.col("r"), F.col("q")).alias("al")).select("item_id", "al.identical", "al.aligned", F.size("al.blocks").alias("blocks"))
+    """Documents as proteins, one residue per character, aligned with themselves after every 50th residue has changed."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", "X"))
+    framed = lambda x: F.concat(F.lit("MKWVTFISLLFLFSSAYS"), x, F.lit("SHFSRQLEERLGLIEV"))
+    pairs = tb.load(spark, sf, "documents").select("doc_id", letters.alias("r")).select("doc_id", framed(F.col("r")).alias("a"), framed(F.regexp_replace("r", "(.{49}).", "$1*")).alias("b"))
+    return pairs.select("doc_id", align_proteins(F.col("a"), F.col("b")).alias("al")).select(
+        "doc_id", F.col("al.identical").cast("long").alias("identical"), F.col("al.aligned").cast("long").alias("aligned"), F.size("al.blocks").alias("blocks"),
+        F.array_join("al.substitutions", ";").alias("substitutions"),
+    )
 
 
 @query

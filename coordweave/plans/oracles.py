@@ -63,8 +63,8 @@ win AS (
   FROM lineitem GROUP BY l_suppkey, l_partkey)"""
 
 RESIDUES = """res AS (
-  SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'ACGTACGTACGTACGTACGTACGTAC') AS r FROM documents)"""
+  SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '-', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ-',
+         'ACGTACGTACGTACGTACGTACGTACA') AS r FROM documents)"""
 
 NEIGHBOURS = RESIDUES + """,
 pair AS (

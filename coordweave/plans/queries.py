@@ -12,6 +12,7 @@ from ..functions.location import format_location, parse_locations
 from ..functions.namespaces import Registry, complete_versions
 from ..operators import convert as cv
 from ..operators import mapping as mp
+from ..operators.dims import digest_groups
 from ..operators.ordered import consecutive_groups, union_intervals
 from ..operators.overlap import overlap_join
 from ..operators.residues import alignment_identity, block_mismatches, slices, tiles
@@ -195,16 +196,20 @@ def translate(spark, sf):
 
 @query
 def sequence_digest(spark, sf):
-    r = tb.residues(spark, sf)
-    return r.select("doc_id", seqs.digest(F.col("residues")).alias("digest"), seqs.checksum_md5(F.col("residues")).alias("md5"))
+    """Checksums of all documents; the digest is held by its form and by whom it brings together."""
+    r = tb.residues(spark, sf).select("doc_id", seqs.digest(F.col("residues")).alias("digest"), seqs.checksum_md5(F.col("residues")).alias("md5"))
+    groups = digest_groups(r, key="doc_id").select(F.col("doc_id").alias("_id"), "same_as", "copies")
+    form = F.col("digest").rlike("^SQ\\.[A-Za-z0-9_-]{32}$")
+    return r.join(groups, F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", "md5", form.alias("well_formed"), F.coalesce("same_as", "doc_id").alias("same_as"), F.coalesce("copies", F.lit(1)).alias("copies")
+    )
 
 
 @query
 def identity_groups(spark, sf):
     """Records with the same residues, linked to one representative each (a star, never all pairs)."""
     r = tb.load(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
-    groups = r.groupBy("digest").agg(F.min("doc_id").alias("same_as"), F.count("*").alias("copies"))
-    return r.join(groups.where("copies > 1"), "digest").select("doc_id", "digest", "same_as", "copies")
+    return digest_groups(r, key="doc_id").select("doc_id", "digest", "same_as", "copies")
 
 
 def _neighbour_blocks(spark, sf):

@@ -63,7 +63,7 @@ def seconds(column: str):
 
 
 def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as nucleotide sequences: ASCII letters only, folded onto A, C, G, T."""
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    folded = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
+    """Documents as nucleotide sequences, one base per character: ASCII letters folded onto A, C, G, T, all others A."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", "-"))
+    folded = F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ-", "ACGTACGTACGTACGTACGTACGTACA")
     return load(spark, sf_dir, "documents").select(F.col("doc_id"), folded.alias("residues"))
