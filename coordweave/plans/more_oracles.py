@@ -132,3 +132,7 @@ def _faldo_sql() -> str:
 
 
 ORACLES["location_faldo"] = _faldo_sql()
+
+ORACLES["fasta_tiles"] = f"""WITH {RESIDUES}, t AS (SELECT doc_id, r, unnest(range(0, (length(r) + 1023) // 1024)) AS tile_ix FROM res)
+    SELECT 'refseq:NC_' || (doc_id + 100000) || '.1' AS ref, tile_ix, CAST(length(r[tile_ix * 1024 + 1 : tile_ix * 1024 + 1024]) AS BIGINT) AS length,
+      md5(r[tile_ix * 1024 + 1 : tile_ix * 1024 + 1024]) AS tile_md5 FROM t"""

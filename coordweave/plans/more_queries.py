@@ -236,6 +236,18 @@ def fasta_records(spark, sf):
     return records.select("ref", "moltype", "unit", "length", "taxon", "organism", "md5")
 
 
+@query
+def fasta_tiles(spark, sf):
+    """Documents written as FASTA lines of 60 residues, read back as tiles of 1024."""
+    docs = tb.residues(spark, sf)
+    header = F.concat(F.lit(">NC_"), F.col("doc_id") + 100000, F.lit(".1 Invented record"))
+    cut = F.regexp_extract_all("residues", F.lit(".{1,60}"), F.lit(0))
+    rows = docs.select("doc_id", F.posexplode(F.concat(F.array(header), cut)).alias("n", "value"))
+    place = F.struct(F.shiftright("doc_id", 6).alias("split"), F.struct("doc_id", "n").alias("row")).alias("place")
+    _, found = fasta.line_tiles(rows.select(F.lit("lines").alias("file"), place, "value"), size=1024)
+    return found.select("ref", "tile_ix", F.length("residues").cast("long").alias("length"), F.md5("residues").alias("tile_md5"))
+
+
 @query
 def block_sampling(spark, sf):
     """Identity over evenly spaced blocks of neighbouring documents cut into 100-base blocks."""
