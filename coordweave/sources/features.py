@@ -12,6 +12,7 @@ from ..operators.mapping import cds_error, cds_mapping, from_location, location_
 from ..operators.residues import TILE, alignment_identity, extract_locations
 from ..operators.validate import expected, validate_cds, validate_transcript, verdict
 from .alignments import gap_runs
+from .fasta import line_tiles
 from .lines import EDGE_COLUMNS, Bundle, attributes, edge_key, edge_order, provenance
 
 # Feature types with a special reading.
@@ -65,6 +66,12 @@ def parse_gff3(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, regions, errors
 
 
+def embedded_fasta(lines: DataFrame, registry: Registry | None = None, size: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(headers, tiles) of the ``##FASTA`` sections of GFF3 lines."""
+    begin = lines.where("startswith(value, '##FASTA')").groupBy("file").agg(F.min("place").alias("_begin"))
+    return line_tiles(lines.join(begin, "file").where("place > _begin").drop("_begin"), registry, size)
+
+
 def first_attribute(name: str, column: str = "attributes") -> Column:
     return F.get(F.try_element_at(F.col(column), F.lit(name)), F.lit(0))
 
@@ -150,7 +157,10 @@ def ingest_gff3(
     located = located.withColumn("is_transcript", is_transcript)
     exons = located.where("type = 'exon'").select("file", "seqid", F.explode(F.try_element_at("attributes", F.lit("Parent"))).alias("id"), F.explode("rows").alias("r"))
     exons = exons.groupBy("file", "seqid", "id").agg(F.array_sort(F.collect_list("r")).alias("exon_rows"))
-    located = located.join(exons, ["file", "seqid", "id"], "left")
+    # Rows without an ID (most parts of transcripts) would all meet in one task of the join; only transcripts need it.
+    none = F.lit(None).cast(dict(exons.dtypes)["exon_rows"]).alias("exon_rows")
+    joined = located.where("is_transcript").join(exons, ["file", "seqid", "id"], "left")
+    located = joined.unionByName(located.where("NOT is_transcript").select("*", none))
     used = F.when(F.col("is_transcript") & F.col("exon_rows").isNotNull(), F.col("exon_rows")).otherwise(F.col("rows"))
     located = located.withColumn("segments", rows_to_segments(used, F.col("ref"), F.col("length"), F.col("circular")))
     beyond = ~F.col("circular") & F.exists("segments", lambda s: s["end"] > F.col("length"))
