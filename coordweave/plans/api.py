@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ class Coordinates:
         self.species = dims.species(self.meta, self.records, self.edges)
         self.assemblies = dims.assemblies(self.meta, self.edges, dims.species_folding(self.meta, self.records))
 
+    @cached_property
+    def graph(self) -> DataFrame:
+        """Blocks of all stores as the search reads them: written on first use, read by every later call."""
+        return search.prepare_graph(self.blocks, self.edges, self.scope, self.registry)
+
     # ---- inputs -------------------------------------------------------------------------------------------------
 
     def read(self, df: DataFrame, text: str = "text", id_col: str = "query_id") -> DataFrame:
@@ -101,7 +108,7 @@ class Coordinates:
             to=list(to), max_hops=max_hops, prefer=list(prefer), taxon=self.taxon_of_name(str(taxon)) if taxon is not None else None, assembly=assembly,
             max_results=None if tag or db or min_match is not None else max_results,
         )
-        found = search.convert(parsed.where("error IS NULL"), self.edges, self.blocks, self.scope, options, self.species, self.mismatches, self.registry, codon)
+        found = search.convert(parsed.where("error IS NULL"), self.edges, self.blocks, self.scope, options, self.species, self.mismatches, self.registry, codon, graph=self.graph)
         if tag:
             found = found.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tag])))
         if db:
@@ -140,14 +147,14 @@ class Coordinates:
         """Annotations recorded on another assembly: the input is lifted there, each annotation is lifted back."""
         parsed = self.read(df, text).where("error IS NULL")
         options = search.Options(to=["genome"], assembly=assembly, max_hops=1)
-        there = search.convert(parsed, self.edges, self.blocks, self.scope, options, self.species, None, self.registry)
+        there = search.convert(parsed, self.edges, self.blocks, self.scope, options, self.species, None, self.registry, graph=self.graph)
         best = F.row_number().over(Window.partitionBy("query_id").orderBy("result_ix"))
         there = there.withColumn("_nth", best).where("_nth = 1").select("query_id", "outer", "kind", "segments", F.col("id").alias("via"))
         table = self.annotations.withColumn("annotation_ix", F.struct("store_ord", "annotation_ix"))
         met = dims.annotations_at(there, table, ["query_id"]).join(there.select("query_id", "via"), "query_id")
         spots = met.select(F.col("location").alias("query_id"), F.col("location").alias("text")).distinct()
         located = parse_locations(spots, "text", "query_id", self.registry, self.scope.select("ref", "unit", "length")).where("error IS NULL")
-        lifted = search.convert(located, self.edges, self.blocks, self.scope, search.Options(max_hops=1), self.species, None, self.registry)
+        lifted = search.convert(located, self.edges, self.blocks, self.scope, search.Options(max_hops=1), self.species, None, self.registry, graph=self.graph)
         lifted = lifted.where("category = 'genome'").select(F.col("query_id").alias("location"), F.col("id").alias("lifted"), F.col("assembly").alias("lifted_assembly"), "result_ix")
         own = parsed.join(self.scope.select(F.col("ref").alias("outer"), F.col("assembly").alias("lifted_assembly")), "outer", "left").select("query_id", "lifted_assembly")
         first = met.join(own, "query_id").join(lifted, ["location", "lifted_assembly"], "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def write_parts(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, in folders by ``by`` and sorted by ``order``."""
+    path = f"{checkpoint_dir(df.sparkSession)}/parts-{uuid.uuid4().hex}"
+    df.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that iterative plans stay short and survive the loss of executors."""
     checkpoint_dir(df.sparkSession)
