@@ -38,7 +38,7 @@ from .common import keep, numbered
 LENGTH = 200
 ANCHOR = 64
 HOT = 20_000
-BUCKET_BYTES = 2_000_000
+BUCKET_BYTES = 1_000_000
 ROWS_PER_TASK = 1_000_000
 CHUNK_BITS = 20
 END_MARK, NUMBER_BYTES = b"\xf7", 8
@@ -46,6 +46,7 @@ MASK = np.uint64((1 << CHUNK_BITS) - 1)
 FACTOR = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 FULL, ASKS, SHOWS = 0, 1, 2  # repeated as a whole; asks for its repeats; only shows its text to others
+SINGLE, WITNESS = 3, 4  # met once in its batch; stands for all copies of a batch
 
 
 class Hashes:
@@ -104,7 +105,12 @@ def contexts(data: bytes, length: int) -> list[tuple[np.ndarray, np.ndarray, np.
 
 
 def context_rows(docs: DataFrame, length: int) -> DataFrame:
-    """``anchor, context, rid, first, last`` for every context of ``docs`` (``rid, text``)."""
+    """``anchor, context, rid, first, last, state`` for every context of ``docs`` (``rid, text``).
+
+    Copies inside a batch are met on the spot: each of them is repeated (``FULL``), and only one ``WITNESS`` of them goes on
+    to meet the rest of the corpus. So a context that holds a third of all rows sends a row per batch.
+    """
+    names = ["anchor", "context", "rid", "first", "last", "state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,10 +120,18 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
                 for anchor, context, first, last in contexts(text.as_py(), length):
                     for column, values in zip(columns, (anchor.view(np.int64), context.view(np.int64), np.full(len(first), rid), first, last), strict=True):
                         column.append(values)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["anchor", "context", "rid", "first", "last"])
+            if not columns[0]:
+                continue
+            joined = [np.concatenate(c) for c in columns]
+            order = np.lexsort((joined[1], joined[0]))
+            new = np.concatenate([[True], (np.diff(joined[0][order]) != 0) | (np.diff(joined[1][order]) != 0)])
+            group = np.cumsum(new) - 1
+            several = np.bincount(group)[group] > 1
+            rows = np.concatenate([order, order[new & several]])
+            state = np.concatenate([np.where(several, FULL, SINGLE), np.full((new & several).sum(), WITNESS)]).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in joined), pa.array(state)], names=names)
 
-    return docs.mapInArrow(run, "anchor long, context long, rid long, first long, last long")
+    return docs.mapInArrow(run, "anchor long, context long, rid long, first long, last long, state byte")
 
 
 def sort_out(rows: DataFrame, count: int) -> DataFrame:
@@ -129,18 +143,18 @@ def sort_out(rows: DataFrame, count: int) -> DataFrame:
         if not held:
             return
         table = pa.Table.from_batches(held)
-        anchor, context, rid, first, last = (table.column(c).to_numpy() for c in ("anchor", "context", "rid", "first", "last"))
+        anchor, context, rid, first, last, state = (table.column(c).to_numpy() for c in ("anchor", "context", "rid", "first", "last", "state"))
         order = np.lexsort((context, anchor))
-        anchor, context, rid, first, last = anchor[order], context[order], rid[order], first[order], last[order]
+        anchor, context, rid, first, last, state = (x[order] for x in (anchor, context, rid, first, last, state))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new = new_anchor | np.concatenate([[True], context[1:] != context[:-1]])
         group = np.cumsum(new) - 1
-        times = np.bincount(group)[group]  # rows with this context
+        times = np.bincount(group, weights=np.where(state == WITNESS, 2, 1))[group]  # a witness stands for two or more
         of_anchor = np.cumsum(new_anchor) - 1
         variety = np.bincount(of_anchor[new])[of_anchor]  # distinct contexts with this anchor
         full = times > 1
         shown = new & (variety > 1)  # one row per distinct context
-        for rows_of, kind in ((full, FULL), (shown & ~full, ASKS), (shown & full, SHOWS)):
+        for rows_of, kind in ((full & (state == SINGLE), FULL), (shown & ~full, ASKS), (shown & full, SHOWS)):
             at = np.flatnonzero(rows_of)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rid[at]), pa.array(first[at]), pa.array(last[at]), pa.array(np.full(len(at), kind, dtype=np.int8)), pa.array(anchor[at]), pa.array(variety[at] > HOT)],
@@ -292,10 +306,12 @@ def counted_windows(texts: DataFrame, length: int) -> DataFrame:
 def mark_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``rid, spans``: for every text of ``docs`` (``rid, text``) with repeats, its runs ``(first, last)`` of repeated windows."""
     rows = keep(context_rows(docs, length))
-    sorted_out = keep(sort_out(rows, rows.count()))
+    open_rows = rows.where(F.col("state") != FULL)
+    sorted_out = keep(sort_out(open_rows, open_rows.count()))
     asked = sorted_out.where(F.col("kind") != FULL)
     facts = asked.agg(F.sum(F.when(~F.col("hot"), F.col("last") - F.col("first") + length)).alias("bytes"), F.count(F.when(F.col("hot"), 1)).alias("hot")).first()
     spans = sorted_out.where(F.col("kind") == FULL).select("rid", "first", "last")
+    spans = spans.unionByName(rows.where(F.col("state") == FULL).select("rid", "first", "last"))
     if facts["bytes"] or facts["hot"]:
         texts = requested_texts(docs, asked, length)
         texts = keep(texts) if facts["hot"] else texts
