@@ -40,7 +40,7 @@ NEAR = 5  # words between a lexicon word and a second-person word
 THRESHOLD = 0.3
 SEED = 17
 TREES, DEPTH = 20, 4
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 # Second-person words, and characters that stand for letters.
 SECOND_PERSON = frozenset(
