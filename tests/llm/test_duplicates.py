@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from coordweave.llm import run_index
 from coordweave.llm.common import components
-from coordweave.llm.compact_windows import LEAST, compact_windows, near_passages
+from coordweave.llm.compact_windows import LEAST, SIMILARITY, compact_windows, near_passages, shingle_hashes, verified
 from coordweave.llm.embedding_join import near_vectors
 from coordweave.llm.run_index import RunIndex, drop_repeats, repeat_digests
 from coordweave.llm.simhash import ball_links, drop_near_duplicates, near_duplicates
@@ -166,3 +166,39 @@ def test_near_passages(spark):
         assert r["similarity"] >= 0.8 and min(len(a), len(b)) >= LEAST + 4
     assert {r["class_id"] for r in rows} == {first, first + 4}
     assert near_passages(table(spark, [])).count() == 0
+
+
+def similar_intervals(a, b, least, similarity):
+    """Whether any interval of ``a`` and any of ``b``, of ``least`` shingles or more, are similar enough."""
+    cuts = lambda x: [set(x[lo:hi].tolist()) for lo in range(len(x)) for hi in range(lo + least, len(x) + 1)]
+    right = cuts(b)
+    return any(len(x & y) >= similarity * len(x | y) for x in cuts(a) for y in right)
+
+
+@pytest.mark.parametrize("n, at", [(60, 14), (54, 0), (54, 2), (50, 24), (50, 2)])
+def test_one_replaced_word_is_verified(n, at):
+    a, b = (shingle_hashes(t.encode()) for t in (prose(31, n), changed(prose(31, n), at)))
+    assert similar_intervals(a, b, LEAST, SIMILARITY)
+    found = verified(a, b, LEAST, SIMILARITY)
+    assert found
+    for a_from, a_to, b_from, b_to, share in found:
+        x, y = set(a[a_from:a_to].tolist()), set(b[b_from:b_to].tolist())
+        assert min(a_to - a_from, b_to - b_from) >= LEAST and share == pytest.approx(len(x & y) / len(x | y)) and share >= SIMILARITY
+
+
+def test_verification_against_all_intervals():
+    rng = np.random.default_rng(6)
+    outcomes = []
+    for seed in range(150):
+        least = 12
+        w = prose(100 + seed, int(rng.integers(16, 30))).split()
+        other = list(w)
+        for _ in range(rng.integers(0, 3)):
+            at = int(rng.integers(0, len(other)))
+            other[at : at + int(rng.integers(0, 2))] = prose(int(rng.integers(900, 999)), int(rng.integers(0, 3))).split()
+        other = prose(500 + seed, int(rng.integers(0, 8))).split() + other
+        a, b = (shingle_hashes(" ".join(x).encode()) for x in (w, other))
+        want = similar_intervals(a, b, least, SIMILARITY)
+        assert bool(verified(a, b, least, SIMILARITY)) == want, seed
+        outcomes.append(want)
+    assert 20 < sum(outcomes) < 130
