@@ -1,13 +1,13 @@
-"""Packing documents into training sequences by hierarchical best fit.
+"""Packing documents into training sequences by best fit over the whole input.
 
-Every partition best-fits its own pieces (longest first, into the open sequence with the least room that suffices) and
-emits the sequences that are nearly full. What is left of each becomes one item: the leftovers of ``FAN_IN`` partitions
-meet in one task, are best-fitted again, and so on up to a single task. A task passes on the ``CARRIED`` sequences with the
-most room at most and emits the others as they are, so no task of the tree grows with the input and no piece is lost.
+Best fit, longest first, depends only on how many pieces there are of every length. Those counts (one for each length up to
+that of a sequence) go to the driver, which packs sequences of one history together: a plan of runs, whose size follows the
+length of a sequence and not the input. Pieces are numbered among those of their length, by task and place in it, and look up
+their sequence and offset in the plan. No task holds more than a batch, no sequence is closed before all pieces are placed,
+and the order of the input does not change how many sequences there are.
 
 Defined results: a null or empty text is its end mark alone (one token); repeated rows are packed once each; a document
-longer than a sequence is cut, its first piece taking the remainder; pieces as long as a sequence skip the tree; an empty
-table gives no rows.
+longer than a sequence is cut, its first piece taking the remainder; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,18 +19,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 END_ID = 0
-FAN_IN = 8
-CARRIED = 4096
-CARRIED_ROWS = 1 << 16
-BATCH = 50_000
+CARRIED = 4096  # without effect: nothing is capped any more, but a test sets it
+RANK_BITS = 48  # pieces of one length are fewer
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, task long, done boolean"
+RANKED = PIECES + ", task long, rank long"
+PACKED = PIECES + ", sequence_id long, offset long"
 
 # Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -114,72 +113,85 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return at, place, np.array(filled, dtype=np.int64)
 
 
-def repack(rows: pd.DataFrame, size: int, slack: int, last: bool, ids: int) -> pd.DataFrame:
-    """Best-fit the sequences of ``rows`` as items; ``done`` marks those that leave the tree. ``ids``: first new number."""
-    items, of_row = np.unique(rows["sequence_id"].to_numpy(np.int64), return_inverse=True)
-    lengths = np.bincount(of_row, weights=rows["length"].to_numpy(np.float64), minlength=len(items)).astype(np.int64)
-    at, place, filled = best_fit(lengths, size)
-    members = np.bincount(at[of_row], minlength=len(filled))
-    done = np.full(len(filled), last) | (size - filled <= slack)
-    by_room = np.flatnonzero(~done)[np.argsort(filled[~done], kind="stable")]
-    done[by_room[CARRIED:]] = True
-    done[by_room[np.cumsum(members[by_room]) > CARRIED_ROWS]] = True
-    return rows.assign(sequence_id=ids + at[of_row], offset=rows["offset"].to_numpy(np.int64) + place[of_row], done=done[at[of_row]])
+def best_fit_plan(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best fit, longest first, of ``counts[l]`` items of every length ``l``: runs of items, and how many sequences of each room.
 
-
-def pack_pieces(pieces: DataFrame, size: int = 2048, slack: int | None = None) -> DataFrame:
+    A run is ``(length, rank, sequence, each, place)``: from the item of that rank among its length on, ``each`` items go to
+    one sequence after the other, from ``place`` on. Sequences of one history are handled together. A set of them that
+    takes items of length ``l`` has less than ``l``, and less than half of its room, left; so runs are bounded by ``size``.
+    """
+    runs: list[tuple[int, int, int, int, int]] = []
+    sequences = 0
+    open_with: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # first and number of the sequences with so much room
+    rooms = 0  # bit r: there are some with room r
+
+    def leave(room: int, first: int, number: int) -> None:
+        nonlocal rooms
+        if number:
+            open_with[room].append((first, number))
+            rooms |= 1 << room
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left, rank = int(counts[length]), 0
+        while left:
+            fitting = rooms >> length
+            if fitting:
+                room = length + (fitting & -fitting).bit_length() - 1
+                first, number = open_with[room].pop()
+                if not open_with[room]:
+                    rooms ^= 1 << room
+            else:
+                room, first, number = size, sequences, -(-left // (size // length))
+                sequences += number
+            # No room from ``length`` to below ``room`` is open, so a sequence is filled up before the next one.
+            each = room // length
+            runs.append((length, rank, first, each, size - room))
+            whole = min(number, left // each)
+            part = left - whole * each if whole < number else 0
+            leave(room - each * length, first, whole)
+            leave(room - part * length, first + whole, 1 if part else 0)
+            leave(room, first + whole + (part > 0), number - whole - (part > 0))
+            rank += whole * each + part
+            left -= whole * each + part
+    rest = np.array([sum(number for _, number in some) for some in open_with], dtype=np.int64)
+    return np.array(runs, dtype=np.int64).reshape(-1, 5), rest
+
+
+def pack_pieces(pieces: DataFrame, size: int = 2048) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``PIECES``), none longer than ``size``."""
-    slack = size // 64 if slack is None else slack
-    names = [field.split()[0] for field in PACKED.split(", ")]
 
-    def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        used = 0
-        kept: list[pd.DataFrame] = []
-        waiting = 0
-
-        def flush() -> Iterator[pd.DataFrame]:
-            nonlocal used, kept, waiting
-            if kept:
-                packed = repack(pd.concat(kept, ignore_index=True), size, slack, False, (task << 32) + used)
-                used += len(packed)
-                yield packed[packed["done"]][names]
-                kept, waiting = [packed[~packed["done"]]], 0
+        seen = np.zeros(size + 1, dtype=np.int64)
+        for batch in batches:
+            length = batch["length"].to_numpy(np.int64)
+            rank = seen[length] + batch.groupby("length").cumcount().to_numpy(np.int64)
+            seen += np.bincount(length, minlength=size + 1)
+            yield batch.assign(task=task, rank=rank)
+
+    # Written once: ranks must not change, and texts are not read again.
+    ranked = cut_lineage(pieces.mapInPandas(number, RANKED))
+    of_task = ranked.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = of_task.select(F.col("length").alias("_length"), F.col("task").alias("_task"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    counts = np.zeros(size + 1, dtype=np.int64)
+    for row in of_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length
+        counts[row["length"]] = row["n"]
+    runs, _ = best_fit_plan(counts, size)
+    run_length, run_rank, run_sequence, run_each, run_place = runs[np.lexsort((runs[:, 1], runs[:, 0]))].T
+    run_key = (run_length << RANK_BITS) + run_rank
+    names = [field.split()[0] for field in PACKED.split(", ")]
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # A piece is an item of its own; numbers below zero keep them apart from the sequences made here.
-            batch = batch.assign(sequence_id=-1 - waiting - np.arange(len(batch)), offset=0, task=task, done=False)
-            kept.append(batch)
-            waiting += len(batch)
-            if waiting >= BATCH:
-                yield from flush()
-        if waiting:
-            yield from flush()
-        if kept:
-            yield kept[0][names]
-
-    def next_round(level: int, last: bool):
-        def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return repack(rows, size, slack, last, (level << 58) + (int(key[0]) << 32)).assign(task=int(key[0]))[names]
-
-        return pack
-
-    state = cut_lineage(pieces.mapInPandas(first_round, PACKED))
-    parts, level = [state.where("done")], 0
-    while True:
-        state = state.where("NOT done")
-        top = state.agg(F.max("task")).first()[0]
-        if top is None:
-            break
-        level += 1
-        last = top < FAN_IN
-        meeting = state.withColumn("task", F.col("task") / FAN_IN).withColumn("task", F.floor("task"))
-        state = cut_lineage(meeting.groupBy("task").applyInPandas(next_round(level, last), PACKED))
-        parts.append(state.where("done"))
-    packed = parts[0]
-    for part in parts[1:]:
-        packed = packed.unionByName(part)
-    return packed.drop("task", "done")
+            length, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
+            at = np.searchsorted(run_key, (length << RANK_BITS) + rank, side="right") - 1
+            nth, within = np.divmod(rank - run_rank[at], run_each[at])
+            yield batch.assign(sequence_id=run_sequence[at] + nth, offset=run_place[at] + within * length)[names]
+
+    met = ranked.join(starts, (F.col("length") == F.col("_length")) & (F.col("task") == F.col("_task")))
+    asked = met.select(*[f.split()[0] for f in PIECES.split(", ")], (F.col("rank") + F.col("_start")).alias("rank"))
+    return asked.mapInPandas(place, PACKED)
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:

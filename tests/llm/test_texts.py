@@ -9,9 +9,10 @@ import duckdb
 import numpy as np
 import pytest
 from coordweave.llm.license_scan import scan_licenses, scan_sql
-from coordweave.llm.packing import best_fit, encoder, pack_documents, pack_pieces
+from coordweave.llm.packing import best_fit, best_fit_plan, encoder, pack_documents, pack_pieces
 from coordweave.llm.quality import quality_rules
 from coordweave.llm.token_count import count_tokens, counter
+from pyspark.sql import functions as F
 
 from .brute import AWKWARD, TOKENIZER, VOCABULARY, prose, table, words
 
@@ -93,6 +94,29 @@ def test_best_fit():
     assert (place + lengths <= 8).all()
 
 
+def test_best_fit_plan_is_best_fit():
+    rng = np.random.default_rng(8)
+    for size in (8, 50, 300):
+        for n in (0, 1, 40, 3000):
+            for most in (size // 4, size):
+                lengths = rng.integers(1, most + 1, n)
+                filled = best_fit(lengths, size)[2]
+                runs, rooms = best_fit_plan(np.bincount(lengths, minlength=size + 1), size)
+                assert rooms.tolist() == np.bincount(size - filled, minlength=size + 1).tolist()
+                assert len(runs) <= 3 * size * size.bit_length()
+
+
+@pytest.mark.parametrize("order", ["-length", "length", "ids_crc32"])
+def test_packing_fills_what_a_full_batch_leaves(spark, order):
+    """Long pieces of one source and short ones of another meet, however the input is ordered."""
+    rows = "id AS doc_id, 0 AS piece, 0L AS start, IF(id < 60000, 1500L, 500L) AS length, CRC32(CAST(CAST(id AS STRING) AS BINARY)) AS ids_crc32"
+    pieces = spark.sql(f"SELECT {rows} FROM range(120000)")
+    packed = pack_pieces(pieces.repartition(1).sortWithinPartitions(F.expr(order)))
+    sums = packed.groupBy("sequence_id").agg({"length": "sum", "*": "count"}).collect()
+    assert len(sums) == 60_000 and all(r["sum(length)"] == 2000 for r in sums)
+    assert {(r["offset"], r["length"]) for r in packed.select("offset", "length").distinct().collect()} == {(0, 1500), (1500, 500)}
+
+
 LICENCES = [
     "This work is licensed under the GNU General Public License, version 3.",
     "text before. Licensed under the Apache License, Version 2.0.\nMIT LICENSE mit license",
