@@ -1,10 +1,10 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted documents and the raw corpus.
 
-Words and word pairs fall into ``BUCKETS`` hash buckets. One multinomial is counted over all documents, one over a bounded
-sample of trusted ones; a document's score is the mean, over its words and pairs, of the log ratio of the two. A document
+Words and word pairs fall into ``BUCKETS`` hash buckets. One multinomial is counted over all documents, one over all trusted
+ones; a document's score is the mean, over its words and pairs, of the log ratio of the two. A document
 is kept if it passes the base rules and its score reaches a fixed threshold. Only DataFrame functions are used.
 
-Buckets that the sample is too small to judge count as neutral: ``SMOOTHING`` occurrences are added to both sides.
+Buckets with too few trusted occurrences to judge count as neutral: ``SMOOTHING`` occurrences are added to both sides.
 
 Defined results: a null, empty or blank text has no words, so it fails the base rules (score 0); lines without a word are
 never repeated lines; repeated rows are judged one by one; without trusted rows every ratio is neutral; an empty table
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 BUCKETS = 1 << 18  # the table of ratios is broadcast: 2^18 rows of (int, float) at most, whatever the corpus
-TRUSTED_ROWS = 20_000  # trusted documents that are sampled, about
 SMOOTHING = 20.0
 THRESHOLD = -0.05
 MIN_WORDS = 50
@@ -87,11 +86,13 @@ def features(words: DataFrame, keep: list[str]) -> DataFrame:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``_bucket, _ratio``: log of the trusted over the raw rate of each bucket. At most ``BUCKETS`` rows.
 
-    ``trusted``: ``doc_id`` of trusted documents, a bounded sample.
+    ``trusted``: ``doc_id`` of trusted documents, as many as there are; they meet the texts by a shuffle.
     """
-    marks = F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_trusted")).distinct())
-    words = docs.select("doc_id", split_words(F.coalesce("text", F.lit(""))).alias("_words"))
-    marked = words.join(marks, F.col("doc_id") == F.col("_id"), "left").select(F.coalesce("_trusted", F.lit(False)).alias("_trusted"), "_words")
+    marks = trusted.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_trusted")).distinct().hint("shuffle_hash")
+    # Whole texts are smaller than their words, and a hash table of ids spares sorting them.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    met = texts.join(marks, F.col("doc_id") == F.col("_id"), "left")
+    marked = met.select(F.coalesce("_trusted", F.lit(False)).alias("_trusted"), split_words(F.col("_text")).alias("_words"))
     counts = features(marked, ["_trusted"]).where("bucket IS NOT NULL").groupBy("bucket").agg(
         F.count("*").alias("_raw"), F.sum(F.col("_trusted").cast("long")).alias("_of_trusted")
     )
@@ -102,18 +103,15 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(totals)).select(F.col("bucket").alias("_bucket"), ratio.cast("float").alias("_ratio"))
 
 
-def sample_trusted(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """About ``rows`` documents labelled good (all, if fewer), chosen by a hash of their id."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    there = good.count()
-    share = min(1.0, rows / max(there, 1))
-    return good.where(F.pmod(F.xxhash64("doc_id", F.lit("trusted")), F.lit(1 << 30)) < int(share * (1 << 30)))
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Documents labelled good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base figures, ``score`` and ``kept`` for every document (``doc_id, text``); ``labels``: ``doc_id, quality``."""
     docs = docs.select("doc_id", "text")
-    ratios = F.broadcast(bucket_ratios(docs, sample_trusted(labels)))
+    ratios = F.broadcast(bucket_ratios(docs, trusted_documents(labels)))
     figures = ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     base = base_columns(docs).withColumn("_row", F.monotonically_increasing_id())
     scored = features(base, figures).join(ratios, F.col("bucket") == F.col("_bucket"), "left")

@@ -195,3 +195,14 @@ def test_quality_scores_follow_the_ratios(spark, copies):
     ratio = {b: math.log((trusted[b] + q.SMOOTHING) / (raw[b] * share + q.SMOOTHING)) for b in raw}
     for n, f in enumerate(features):
         assert got[n] == pytest.approx(sum(ratio[b] for b in f) / len(f), abs=1e-6)
+
+
+def test_quality_counts_all_trusted_documents(spark):
+    """More of them than were once sampled."""
+    from coordweave.llm import quality as q
+
+    docs = spark.range(44_000).selectExpr("id AS doc_id", "IF(id < 30000, 'alpha beta', 'gamma delta') AS text")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality")
+    score = quality_rules(docs, labels).where("doc_id = 7").first()["score"]
+    expected = 30_000 * 90_000 / 132_000  # two words and a pair in each text
+    assert score == pytest.approx(np.log((30_000 + q.SMOOTHING) / (expected + q.SMOOTHING)), abs=1e-6)
