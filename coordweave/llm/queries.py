@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .collocations import mine_phrases, phrases_sql
 from .compact_windows import near_passages
 from .embedding_join import near_vectors
 from .license_scan import scan_licenses, scan_sql
@@ -89,3 +90,11 @@ def op6_repeated_bytes(spark, sf):
 @query
 def op9_near_passages(spark, sf):
     return near_passages(load(spark, sf, "documents"))
+
+
+@query
+def op11_phrases(spark, sf):
+    return mine_phrases(load(spark, sf, "documents"))
+
+
+ORACLES["op11_phrases"] = phrases_sql()
