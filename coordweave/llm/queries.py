@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .collocations import mine_phrases, phrases_sql
 from .compact_windows import near_passages
 from .embedding_join import near_vectors
+from .hard_negatives import hard_negatives, mining_rows
 from .license_scan import scan_licenses, scan_sql
 from .mixing import taken_words
 from .packing import pack_documents
@@ -98,3 +99,21 @@ def op11_phrases(spark, sf):
 
 
 ORACLES["op11_phrases"] = phrases_sql()
+
+
+@query
+def op12_hard_negatives(spark, sf):
+    return hard_negatives(mining_rows(load(spark, sf, "embeddings")))
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+r AS (SELECT anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM r WHERE rank <= 10"""
