@@ -17,6 +17,7 @@ from .run_index import repeat_digests
 from .simhash import near_duplicates
 from .token_count import count_tokens
 from .toxicity import score_toxicity
+from .window_packing import pack_windows
 
 
 def vocabulary() -> str:
@@ -117,3 +118,10 @@ r AS (SELECT anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION B
   s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
   FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
 SELECT * FROM r WHERE rank <= 10"""
+
+
+@query
+def op13_window_packing(spark, sf):
+    import public_tokenizers
+
+    return pack_windows(load(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
