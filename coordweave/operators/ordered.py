@@ -7,7 +7,9 @@ single chunk cost nothing extra beyond that small join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -90,3 +92,49 @@ def consecutive_groups(
     flagged = flagged.select(*df.columns, "_new")
     counted = running_sum(flagged, keys, order, F.col("_new").cast("long"), chunk, "_earlier")
     return counted.select(*df.columns, (F.col("_earlier") + F.col("_new")).alias(name))
+
+
+def _carried_by_chunk(df: DataFrame, keys: list[str], summary: Column, over: Callable[[Column, WindowSpec], Column], name: str) -> DataFrame:
+    """One row per (key, ``_chunk``): ``summary`` of each chunk, taken over the earlier chunks of the key."""
+    of_chunk = df.groupBy(*keys, "_chunk").agg(summary.alias("_summary"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk")
+    return of_chunk.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), over(F.col("_summary"), earlier).alias(name)
+    ).where(F.col(name).isNotNull())
+
+
+def _with_chunk(df: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_chunk") == F.col("_k_chunk")]
+    return df.join(carried, match, "left")
+
+
+def running_max(df: DataFrame, keys: list[str], pos: str, value: str, name: str, bits: int = 16) -> DataFrame:
+    """Add ``name``: the largest ``value`` among the rows of the key at smaller ``pos`` (null for none).
+
+    Chunks are stretches of 2^bits positions, so a row's chunk says which rows lie before all of it.
+    """
+    staged = df.withColumn("_chunk", F.shiftright(pos, bits))
+    before = lambda c, w: F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    carried = _carried_by_chunk(staged, keys, F.max(value), before, "_carry")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(pos).rangeBetween(Window.unboundedPreceding, -1)
+    joined = _with_chunk(staged.withColumn("_local", F.max(value).over(inside)), carried, keys)
+    return joined.select(*df.columns, F.greatest("_local", "_carry").alias(name))
+
+
+def previous_row(df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, name: str) -> DataFrame:
+    """Add ``name``: ``value`` of the row before, in ``order``, of the key (null for its first row)."""
+    staged = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    carried = _carried_by_chunk(staged, keys, F.max_by("_value", F.struct(*order)), lambda c, w: F.lag(c).over(w), "_carry")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = staged.withColumn("_first", F.row_number().over(inside) == 1).withColumn("_local", F.lag("_value").over(inside))
+    joined = _with_chunk(local, carried, keys)
+    return joined.select(*df.columns, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_local")).alias(name))
+
+
+def next_row(df: DataFrame, keys: list[str], pos: str, name: str, bits: int = 16) -> DataFrame:
+    """Add ``name``: the next larger ``pos`` of the key (null for the last); positions of a key are distinct."""
+    staged = df.withColumn("_chunk", F.shiftright(pos, bits))
+    carried = _carried_by_chunk(staged, keys, F.min(pos), lambda c, w: F.lead(c).over(w), "_carry")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
+    joined = _with_chunk(staged.withColumn("_local", F.lead(pos).over(inside)), carried, keys)
+    return joined.select(*df.columns, F.coalesce("_local", "_carry").alias(name))

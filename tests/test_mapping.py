@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from coordweave.functions.location import parse_locations
@@ -132,7 +134,9 @@ def _sequential(kind, segments, blocks):
     return flat, unmapped
 
 
-def test_windows_equal_a_sequential_walk(spark):
+@pytest.mark.parametrize("bits", [16, 3, 0])
+def test_windows_equal_a_sequential_walk(spark, monkeypatch, bits):
+    monkeypatch.setattr(cv, "CHUNK_BITS", bits)  # 3: most inputs are swept in stretches; 0: all
     cases = list(_random_cases(400, 7))
     block_rows = [(b["ix"], f"test:S{q}", b["src"], b["tgt_ref"], b["tgt"], b["len"], b["rev"]) for q, _, _, bs in cases for b in bs]
     blocks = spark.createDataFrame(block_rows, "ix long, src_ref string, src long, tgt_ref string, tgt long, len long, rev boolean")
@@ -163,3 +167,26 @@ def test_compose_is_composition_of_units(spark):
     want = sorted((x, z) for x, y in pairs(ab) for y2, z in pairs(bc) if y == y2)
     got = sorted((u, _image(b, u)) for b in (r.asDict() for r in out) for u in range(b["src"], b["src"] + b["len"]))
     assert got == want and [r.ix for r in sorted(out, key=lambda r: r.ix)] == list(range(len(out)))
+
+
+def test_one_long_input_is_swept_in_stretches(spark, monkeypatch):
+    """Tens of thousands of hits of one input: the plan in stretches gives what one task gives, and no window has the bare key."""
+    n = 20_000
+    at = F.col("id") * 97
+    gap = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    blocks = spark.range(n).select(
+        F.col("id").alias("ix"), F.lit("test:LONG").alias("src_ref"), at.alias("src"), F.when(F.col("id") % 5000 < 2500, "test:T1").otherwise("test:T2").alias("tgt_ref"),
+        (at + F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0, 3).otherwise(0)).alias("tgt"),
+        F.when(gap, 90).when(F.col("id") % 11 == 0, 400).otherwise(97).cast("long").alias("len"), (F.col("id") % 401 == 0).alias("rev"),
+    ).cache()
+    asked = parse_locations(spark.createDataFrame([(1, f"test:LONG:51..{97 * n - 30}"), (2, f"test:LONG:complement(1001..{60 * n})")], "query_id long, text string"), registry=REGISTRY)
+    found = {}
+    for bits in (16, 40):
+        monkeypatch.setattr(cv, "CHUNK_BITS", bits)
+        segments = cv.explode_locations(asked, ["query_id"])
+        met = cv.hits(segments, blocks, ["query_id"])
+        found[bits] = [
+            sorted(map(tuple, df.collect()))
+            for df in (cv.target_segments(met, ["query_id"]), cv.unmapped(segments, met, ["query_id"]), cv.pieces(met, ["query_id"]))
+        ]
+    assert found[16] == found[40] and all(len(rows) > 3000 for rows in found[16])

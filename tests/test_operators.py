@@ -72,6 +72,24 @@ def test_greedy_one_to_one(spark):
         assert sorted(got) == sorted(want)
 
 
+def test_one_to_one_under_deep_cover(spark):
+    """As many alignments over one stretch as it has units: rows grow with the logarithm of the axis, not with the cover."""
+    n, width = 20_000, 1 << 16
+    start = F.pmod(F.xxhash64("id"), F.lit(width)).cast("long")
+    stop = start + 1 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(width)).cast("long")
+    df = spark.range(n).select(F.lit("q").alias("qname"), F.concat(F.lit("r"), "id").alias("rec"), F.col("id").alias("place"), start.alias("qstart"), stop.alias("qend"),
+                               F.lit(1).cast("long").alias("nmatch"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10**6)).cast("double").alias("score")).cache()
+    got = one_to_one(df).collect()
+    owner = [None] * (2 * width + 2)
+    for r in sorted(df.collect(), key=lambda r: (r.score, -r.place)):
+        owner[r.qstart : r.qend] = [r.rec] * (r.qend - r.qstart)
+    out = [None] * len(owner)
+    for r in got:
+        assert all(x is None for x in out[r.free_start : r.free_end])
+        out[r.free_start : r.free_end] = [r.rec] * (r.free_end - r.free_start)
+    assert out == owner
+
+
 def test_sequence_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x
