@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import running_sum
 from .common import keep
-from .encoding import blank_parts, encoder
+from .encoding import encoder
 
 END_ID = 2
 UNIT = 64
@@ -117,13 +117,13 @@ def tokenized(docs: DataFrame, path: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, end = TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
         made, windows, seen = 0, 0, np.zeros(size // UNIT + 1, np.int64)
-        encode, press = encoder(path, blank_parts).encode, zstandard.ZstdCompressor(level=1).compress
+        encode, press = encoder(path).encode, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for at in range(0, len(batch), TEXTS_AT_ONCE):
                 some = batch.slice(at, TEXTS_AT_ONCE)
                 out = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    ids += end
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    ids = encode(text) + end
                     n = len(ids) // 4
                     own, rest = divmod(n, size)
                     kind = rest // UNIT if rest else size // UNIT  # the last class: no rest
@@ -148,7 +148,7 @@ def last_sequences(tokens: int, size: int) -> np.ndarray:
 def pack_windows(docs: DataFrame, path: str, size: int = 4096) -> DataFrame:
     """``PIECES``: every piece of every document in its sequence of at most ``size`` tokens.
 
-    ``path`` is a vocabulary of the tokenizers library that drops white space; every executor can open it. ``size`` must be a
+    ``path`` is a vocabulary of the tokenizers library with word ends; every executor can open it. ``size`` must be a
     power of two above ``UNIT``.
     """
     units = size // UNIT

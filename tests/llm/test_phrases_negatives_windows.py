@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from coordweave.llm import quotient_filter as qf
 from coordweave.llm.collocations import mine_phrases
-from coordweave.llm.encoding import Encoder, blank_parts, leading_parts
+from coordweave.llm.encoding import WordEndEncoder
 from coordweave.llm.hard_negatives import hard_negatives, mining_rows, spanning_tree
 from coordweave.llm.window_packing import combinations, nonnegative_least_squares, pack_windows, plan
 
@@ -158,13 +158,16 @@ def test_plan_keeps_to_the_counts():
     assert times.sum() > 0
 
 
-@pytest.mark.parametrize("parts,path", [(blank_parts, WORDS), (leading_parts, public_tokenizers.path("byte_bpe_50k.json"))])
-def test_parts_encode_as_the_whole(parts, path):
-    library, rng = Tokenizer.from_file(path), random.Random(8)
-    marks = [" ", "  ", "\n", "\t", "\r\n", " ", " ", "'s", "'", "a", "É", "é", "́", "7", "२", "Σ", "<|endoftext|>", "\U0001f600", "\x1c", "\x85", "-", "word", "漢"]
-    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [t or "" for t in AWKWARD] + [prose(9, 400)]
-    got = [np.frombuffer(ids, "<u4").tolist() for ids in Encoder(path, parts).encode(texts)]
-    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+def test_word_ends_encode_as_the_library():
+    library, mine, rng = Tokenizer.from_file(WORDS), WordEndEncoder(WORDS), random.Random(8)
+    marks = [" ", "  ", "\n", "\t", "\r\n", "\xa0", " ", "'s", "'LL", "'", "a", "É", "é", "́", "7", "२", "Σ", "<|endoftext|>", "<|", "\U0001f600", "\x00", "\x0b", "\x1c",
+             "\x85", "-", "word", "漢", "ß", "ÿ", "µ", "×", "İ", "aaa", "http", "²", "_"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t or "" for t in AWKWARD] + [prose(9, 400)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIéèüöñß '-.,;0123456789\n"
+    texts += ["".join(rng.choices(letters, [6] * 26 + [1] * 9 + [2] * 6 + [12] + [1] * 16, k=rng.randint(1, 300))) for _ in range(3000)]
+    texts += [chr(c) + "a" + chr(c) + " " + chr(c) + "7" for c in range(1, 0x250)]
+    for text in texts:
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("size", [128, 4096])
