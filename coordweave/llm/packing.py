@@ -1,10 +1,11 @@
-"""Packing documents into training sequences by best fit over the whole input.
+"""Packing documents into training sequences by hierarchical residual packing.
 
-Best fit, longest first, depends only on how many pieces there are of every length. Those counts (one for each length up to
-that of a sequence) go to the driver, which packs sequences of one history together: a plan of runs, whose size follows the
-length of a sequence and not the input. Pieces are numbered among those of their length, by task and place in it, and look up
-their sequence and offset in the plan. No task holds more than a batch, no sequence is closed before all pieces are placed,
-and the order of the input does not change how many sequences there are.
+Token pieces, sorted by length, are dealt to leaves in turn, so every leaf holds a fair mix whatever the order of the input. A
+leaf packs its pieces by best fit, longest first. Of its sequences, those at most half full - one at most, or two would have
+shared a sequence - and the roomiest others go up a tree as items: a node gets those of ``FANOUT`` children, packs them by best
+fit, and passes on its own. The ``FANOUT`` roomiest are as good as all of them: sequences above half cannot share, and a node has
+at most one smaller item of each child, so nobody asks for more. All else is done where it is. No task holds more than a leaf
+or a node's few items.
 
 Defined results: a null or empty text is its end mark alone (one token); repeated rows are packed once each; a document
 longer than a sequence is cut, its first piece taking the remainder; an empty table gives no rows.
@@ -18,34 +19,37 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .common import keep
 
 END_ID = 0
-CARRIED = 4096  # without effect: nothing is capped any more, but a test sets it
-RANK_BITS = 48  # pieces of one length are fewer
+LEAF = 1 << 15  # pieces that a task packs, about
+FANOUT = 8
+BIN_BITS = 20  # sequences of a leaf are fewer
+TEXTS_AT_ONCE = 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-RANKED = PIECES + ", task long, rank long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 # Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Scripts up to U+07FF and general punctuation: here two libraries agree on every character class.
 RARE = re.compile("[^\\x00-\\u07ff\\u2010-\\u2027\\u2030-\\u205e]")
-_ENCODERS: dict[str, Callable[[list[str]], list[list[int]]]] = {}
+_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
 
 
-def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Identifiers of texts under the vocabulary at ``path``; texts in common scripts take the faster library."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Identifiers of a text under the vocabulary at ``path``; texts in common scripts take the faster library.
+
+    A worker loads the other one when a text first asks for it.
+    """
     if path in _ENCODERS:
         return _ENCODERS[path]
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
@@ -55,10 +59,16 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     special = {t["content"]: t["id"] for t in content["added_tokens"] if t["special"]}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in content["model"]["vocab"].items() if piece not in special}
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    exact = Tokenizer.from_file(path)
+    exact = []
+
+    def encode(text: str) -> list[int]:
+        if not RARE.search(text):
+            return fast.encode(text, allowed_special="all")
+        if not exact:
+            from tokenizers import Tokenizer
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [exact.encode(t, add_special_tokens=False).ids if RARE.search(t) else fast.encode(t, allowed_special="all") for t in texts]
+            exact.append(Tokenizer.from_file(path))
+        return exact[0].encode(text, add_special_tokens=False).ids
 
     return _ENCODERS.setdefault(path, encode)
 
@@ -66,25 +76,24 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 def cut_pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
     """Token pieces of every text (``doc_id, text``): where they start, how long they are, and a checksum of their ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for first in range(0, len(batch), 256):  # the ids of a few texts at a time
-                rows = batch.iloc[first : first + 256]
+            for first in range(0, len(batch), TEXTS_AT_ONCE):
+                rows = batch.slice(first, TEXTS_AT_ONCE)
                 out = []
-                for doc_id, ids in zip(rows["doc_id"], encode(list(rows["text"])), strict=True):
+                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    ids = encode(text)
                     ids.append(END_ID)
                     data = np.array(ids, dtype="<u4")
-                    start, length = 0, (len(ids) - 1) % size + 1
-                    piece = 0
+                    start, length, piece = 0, (len(ids) - 1) % size + 1, 0
                     while start < len(ids):
-                        out.append((doc_id, piece, start, length, zlib.crc32(data[start : start + length].tobytes())))
+                        out.append((doc_id, piece, start, length, zlib.crc32(data[start : start + length])))
                         start, length, piece = start + length, size, piece + 1
-                made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                made["doc_id"] = made["doc_id"].astype("Int64")
-                yield made
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,85 +122,83 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return at, place, np.array(filled, dtype=np.int64)
 
 
-def best_fit_plan(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best fit, longest first, of ``counts[l]`` items of every length ``l``: runs of items, and how many sequences of each room.
+def passed_up(filled: np.ndarray, size: int) -> np.ndarray:
+    """Places of the sequences that go up: those at most half full, and the roomiest others that are not full."""
+    small = np.flatnonzero(filled <= size // 2)
+    others = np.flatnonzero((filled > size // 2) & (filled < size))
+    return np.concatenate([small, others[np.argsort(filled[others], kind="stable")[:FANOUT]]])
+
+
+def pack_leaves(pieces: DataFrame, leaves: int, size: int) -> DataFrame:
+    """``PACKED`` and ``leaf, filled``: all pieces in their sequences; rows with ``filled`` are sequences that go up."""
+    names = [f.split()[0] for f in PIECES.split(", ")]
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        leaf = key[0].as_py()
+        at, place, filled = best_fit(table.column("length").to_numpy(), size)
+        up = passed_up(filled, size)
+        first = leaf << BIN_BITS
+        schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in [*names, "sequence_id", "offset", "leaf", "filled"]])
+        items = [*(table.column(n) for n in names), pa.array(first + at), pa.array(place), pa.array(np.full(len(at), leaf)), pa.nulls(len(at), pa.int64())]
+        none = [pa.nulls(len(up), schema.field(n).type) for n in [*names, "offset"]]
+        sent = [*none[:-1], pa.array(first + up), none[-1], pa.array(np.full(len(up), leaf)), pa.array(filled[up])]
+        return pa.concat_tables([pa.table(items, schema=schema), pa.table(sent, schema=schema)])
+
+    numbered = keep(pieces.withColumn("_number", F.monotonically_increasing_id()))  # written once: numbers must not change
+    sorted_ = numbered.repartitionByRange("length", "_number").sortWithinPartitions("length", "_number").withColumn("_place", F.monotonically_increasing_id())
+    turn = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.shiftright("_place", 33)
+    dealt = sorted_.withColumn("leaf", F.pmod(turn, F.lit(leaves))).drop("_number", "_place")
+    return dealt.groupBy("leaf").applyInArrow(pack, PACKED + ", leaf long, filled long")
+
+
+def merge_up(items: DataFrame, leaves: int, size: int) -> DataFrame | None:
+    """``seq, target, shift``: sequences that end up in others, and how far their pieces move; ``items``: ``node, seq, filled``."""
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        seq, lengths = rows["seq"].to_numpy(np.int64), rows["filled"].to_numpy(np.int64)
+        order = np.lexsort((seq, -lengths))
+        seq, lengths = seq[order], lengths[order]
+        at, place, filled = best_fit(lengths, size)
+        base = np.zeros(len(filled), np.int64)
+        base[at[place == 0]] = seq[place == 0]
+        moved = place > 0
+        up = passed_up(filled, size)
+        return pd.DataFrame({
+            "node": np.full(moved.sum() + len(up), key[0]), "seq": np.concatenate([seq[moved], base[up]]),
+            "filled": pd.array([None] * int(moved.sum()) + filled[up].tolist(), "Int64"),
+            "target": np.concatenate([base[at[moved]], base[up]]), "shift": np.concatenate([place[moved], np.zeros(len(up), np.int64)]),
+        })
+
+    moves = None
+    while leaves > 1:
+        leaves = -(-leaves // FANOUT)
+        up = items.withColumn("node", F.floor(F.col("node") / FANOUT))
+        met = keep(up.groupBy("node").applyInPandas(merge, "node long, seq long, filled long, target long, shift long"))
+        items = met.where("filled IS NOT NULL").select("node", "seq", "filled")
+        new = met.where("filled IS NULL").select("seq", "target", "shift")
+        if moves is not None:
+            then = new.select(F.col("seq").alias("_seq"), F.col("target").alias("_target"), F.col("shift").alias("_shift"))
+            further = moves.join(then, F.col("target") == F.col("_seq"), "left")
+            moves = further.select("seq", F.coalesce("_target", "target").alias("target"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")).unionByName(new)
+            moves = keep(moves)
+        else:
+            moves = new
+    return moves
 
-    A run is ``(length, rank, sequence, each, place)``: from the item of that rank among its length on, ``each`` items go to
-    one sequence after the other, from ``place`` on. Sequences of one history are handled together. A set of them that
-    takes items of length ``l`` has less than ``l``, and less than half of its room, left; so runs are bounded by ``size``.
-    """
-    runs: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    open_with: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # first and number of the sequences with so much room
-    rooms = 0  # bit r: there are some with room r
-
-    def leave(room: int, first: int, number: int) -> None:
-        nonlocal rooms
-        if number:
-            open_with[room].append((first, number))
-            rooms |= 1 << room
-
-    for length in np.flatnonzero(counts)[::-1].tolist():
-        left, rank = int(counts[length]), 0
-        while left:
-            fitting = rooms >> length
-            if fitting:
-                room = length + (fitting & -fitting).bit_length() - 1
-                first, number = open_with[room].pop()
-                if not open_with[room]:
-                    rooms ^= 1 << room
-            else:
-                room, first, number = size, sequences, -(-left // (size // length))
-                sequences += number
-            # No room from ``length`` to below ``room`` is open, so a sequence is filled up before the next one.
-            each = room // length
-            runs.append((length, rank, first, each, size - room))
-            whole = min(number, left // each)
-            part = left - whole * each if whole < number else 0
-            leave(room - each * length, first, whole)
-            leave(room - part * length, first + whole, 1 if part else 0)
-            leave(room, first + whole + (part > 0), number - whole - (part > 0))
-            rank += whole * each + part
-            left -= whole * each + part
-    rest = np.array([sum(number for _, number in some) for some in open_with], dtype=np.int64)
-    return np.array(runs, dtype=np.int64).reshape(-1, 5), rest
-
-
-def pack_pieces(pieces: DataFrame, size: int = 2048) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (``PIECES``), none longer than ``size``."""
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId()
-        seen = np.zeros(size + 1, dtype=np.int64)
-        for batch in batches:
-            length = batch["length"].to_numpy(np.int64)
-            rank = seen[length] + batch.groupby("length").cumcount().to_numpy(np.int64)
-            seen += np.bincount(length, minlength=size + 1)
-            yield batch.assign(task=task, rank=rank)
-
-    # Written once: ranks must not change, and texts are not read again.
-    ranked = cut_lineage(pieces.mapInPandas(number, RANKED))
-    of_task = ranked.groupBy("length", "task").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = of_task.select(F.col("length").alias("_length"), F.col("task").alias("_task"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    counts = np.zeros(size + 1, dtype=np.int64)
-    for row in of_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length
-        counts[row["length"]] = row["n"]
-    runs, _ = best_fit_plan(counts, size)
-    run_length, run_rank, run_sequence, run_each, run_place = runs[np.lexsort((runs[:, 1], runs[:, 0]))].T
-    run_key = (run_length << RANK_BITS) + run_rank
-    names = [field.split()[0] for field in PACKED.split(", ")]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
-            at = np.searchsorted(run_key, (length << RANK_BITS) + rank, side="right") - 1
-            nth, within = np.divmod(rank - run_rank[at], run_each[at])
-            yield batch.assign(sequence_id=run_sequence[at] + nth, offset=run_place[at] + within * length)[names]
-
-    met = ranked.join(starts, (F.col("length") == F.col("_length")) & (F.col("task") == F.col("_task")))
-    asked = met.select(*[f.split()[0] for f in PIECES.split(", ")], (F.col("rank") + F.col("_start")).alias("rank"))
-    return asked.mapInPandas(place, PACKED)
+def pack_pieces(pieces: DataFrame, size: int = 2048, leaf: int = LEAF) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces (``PIECES``), none longer than ``size``."""
+    pieces = keep(pieces)  # texts are not read again
+    leaves = max(1, -(-pieces.count() // leaf))
+    packed = keep(pack_leaves(pieces, leaves, size))
+    moves = merge_up(packed.where("filled IS NOT NULL").select(F.col("leaf").alias("node"), F.col("sequence_id").alias("seq"), "filled"), leaves, size)
+    out = packed.where("filled IS NULL").drop("leaf", "filled")
+    if moves is None:
+        return out
+    met = out.join(moves, F.col("sequence_id") == F.col("seq"), "left")
+    return met.select(
+        *[f.split()[0] for f in PIECES.split(", ")], F.coalesce("target", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
+    )
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:

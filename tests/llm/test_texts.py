@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from coordweave.llm.license_scan import scan_licenses, scan_sql
-from coordweave.llm.packing import best_fit, best_fit_plan, encoder, pack_documents, pack_pieces
+from coordweave.llm.packing import FANOUT, best_fit, encoder, pack_documents, pack_pieces, passed_up
 from coordweave.llm.quality import quality_rules
 from coordweave.llm.token_count import count_tokens, counter
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ def test_counts_are_those_of_the_library():
 
 def test_fast_ids_are_those_of_the_library():
     texts = odd_texts(3000)
-    assert encoder(VOCABULARY)(texts) == [ids(t) for t in texts]
+    assert [encoder(VOCABULARY)(t) for t in texts] == [ids(t) for t in texts]
 
 
 def test_token_count_rows(spark):
@@ -79,14 +79,6 @@ def test_packing(spark):
     assert pack_documents(table(spark, []), VOCABULARY).count() == 0
 
 
-def test_packing_keeps_everything_when_the_tree_is_full(spark, monkeypatch):
-    monkeypatch.setattr("coordweave.llm.packing.CARRIED", 2)
-    pieces = spark.range(500).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "5 + id % 3 AS length", "0L AS ids_crc32").repartition(20)
-    rows = pack_pieces(pieces, 8).collect()
-    assert sorted(r["doc_id"] for r in rows) == list(range(500))
-    assert len({r["sequence_id"] for r in rows}) == 500
-
-
 def test_best_fit():
     lengths = np.array([5, 3, 7, 2, 8, 1, 4, 2])
     at, place, filled = best_fit(lengths, 8)
@@ -94,27 +86,49 @@ def test_best_fit():
     assert (place + lengths <= 8).all()
 
 
-def test_best_fit_plan_is_best_fit():
+def test_what_goes_up_is_enough():
     rng = np.random.default_rng(8)
-    for size in (8, 50, 300):
-        for n in (0, 1, 40, 3000):
-            for most in (size // 4, size):
-                lengths = rng.integers(1, most + 1, n)
-                filled = best_fit(lengths, size)[2]
-                runs, rooms = best_fit_plan(np.bincount(lengths, minlength=size + 1), size)
-                assert rooms.tolist() == np.bincount(size - filled, minlength=size + 1).tolist()
-                assert len(runs) <= 3 * size * size.bit_length()
+    for n in (1, 40, 3000):
+        for most in (30, 100, 300):
+            filled = best_fit(rng.integers(1, most + 1, n), 300)[2]
+            up = passed_up(filled, 300)
+            rest = np.delete(filled, up)
+            assert (filled[up] <= 150).sum() <= 1 and len(up) <= FANOUT + 1 and (rest > 150).all()
+            if len(up) > FANOUT:
+                roomiest = np.sort(filled[up][filled[up] > 150])
+                assert len(roomiest) == FANOUT and (rest >= roomiest[-1]).all()
 
 
 @pytest.mark.parametrize("order", ["-length", "length", "ids_crc32"])
-def test_packing_fills_what_a_full_batch_leaves(spark, order):
-    """Long pieces of one source and short ones of another meet, however the input is ordered."""
+def test_packing_is_near_the_best_in_any_order(spark, order):
+    """Long pieces of one source and short ones of another meet in every leaf, however the input is ordered."""
     rows = "id AS doc_id, 0 AS piece, 0L AS start, IF(id < 60000, 1500L, 500L) AS length, CRC32(CAST(CAST(id AS STRING) AS BINARY)) AS ids_crc32"
     pieces = spark.sql(f"SELECT {rows} FROM range(120000)")
-    packed = pack_pieces(pieces.repartition(1).sortWithinPartitions(F.expr(order)))
-    sums = packed.groupBy("sequence_id").agg({"length": "sum", "*": "count"}).collect()
-    assert len(sums) == 60_000 and all(r["sum(length)"] == 2000 for r in sums)
-    assert {(r["offset"], r["length"]) for r in packed.select("offset", "length").distinct().collect()} == {(0, 1500), (1500, 500)}
+    packed = pack_pieces(pieces.repartition(1).sortWithinPartitions(F.expr(order)), leaf=5000).cache()
+    sums = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces")).collect()
+    assert packed.select("doc_id").distinct().count() == packed.count() == 120_000
+    assert 60_000 <= len(sums) <= 60_600 and all(r["n"] <= 2048 and r["places"] == r["pieces"] for r in sums)
+
+
+@pytest.mark.parametrize("leaf", [7, 60, 100_000])
+def test_packing_over_levels_of_the_tree(spark, leaf):
+    """Any number of levels keeps every piece once and gapless, and stays near best fit over everything."""
+    rng = np.random.default_rng(9)
+    lengths = np.concatenate([rng.integers(1, 101, 900), np.full(300, 64), np.full(200, 100), rng.integers(1, 9, 400)])
+    pieces = spark.createDataFrame([(None if n % 9 == 0 else n, 0, 0, int(m), n) for n, m in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = pack_pieces(pieces.repartition(5), 100, leaf).collect()
+    assert sorted(r["ids_crc32"] for r in rows) == list(range(len(lengths)))
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 100
+    whole = len(best_fit(lengths, 100)[2])
+    assert len(by_sequence) <= whole * (1.01 if leaf > 7 else 1.2)
 
 
 LICENCES = [
