@@ -138,3 +138,17 @@ def next_row(df: DataFrame, keys: list[str], pos: str, name: str, bits: int = 16
     inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     joined = _with_chunk(staged.withColumn("_local", F.lead(pos).over(inside)), carried, keys)
     return joined.select(*df.columns, F.coalesce("_local", "_carry").alias(name))
+
+
+def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column) -> DataFrame:
+    """Add the columns of ``values``: for each, its last value that is not null, at the row or before it in ``order``."""
+    marks = {f"_mark_{name}": column for name, column in values.items()}
+    staged = df.withColumn("_chunk", chunk).withColumns(marks)
+    place = F.struct(*order)
+    summary = F.struct(*[F.max_by(m, F.when(F.col(m).isNotNull(), place)).alias(m) for m in marks])
+    earlier = lambda c, w: F.struct(*[F.last(c[m], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(m) for m in marks])
+    carried = _carried_by_chunk(staged, keys, summary, earlier, "_carry")
+    upto = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.withColumns({m: F.last(m, ignorenulls=True).over(upto) for m in marks})
+    joined = _with_chunk(local, carried, keys)
+    return joined.select(*df.columns, *[F.coalesce(f"_mark_{name}", F.col("_carry")[f"_mark_{name}"]).alias(name) for name in values])

@@ -10,7 +10,7 @@ from ..functions.namespaces import Registry
 from .alignments import ingest_chains, ingest_paf
 from .fasta import line_tiles, read_fasta, sequence_records
 from .features import embedded_fasta, ingest_genbank, ingest_gff3
-from .lines import Bundle, read_lines, read_records
+from .lines import Bundle, read_lines
 from .tabular import assembly_report, ingest_bed, ingest_mane, ingest_sifts
 
 # Endings of file names (before .gz) and the source they stand for.
@@ -44,12 +44,12 @@ def read_any(
     registry, source = registry or Registry(), source_of(path)
     if source in ("chain", "paf", "bed") and names is None or source in ("chain", "paf") and to_names is None:
         raise ValueError(f"'{path}' needs the sequence names of its assemblies (an assembly report for each side)")
-    if source == "genbank":
-        return ingest_genbank(read_records(spark, path, "\n//"), registry, tile_table, **options)
     if source == "fasta":
         records, warnings = sequence_records(read_fasta(spark, path), registry)
         return Bundle(sequences=records, warnings=warnings, residues=line_tiles(read_lines(spark, path), registry)[1])
     lines = read_lines(spark, path)
+    if source == "genbank":
+        return ingest_genbank(lines, registry, tile_table, **options)
     if source == "gff3":
         own = embedded_fasta(lines, registry)[1]
         bundle = ingest_gff3(lines, registry, names, tile_table if tile_table is not None else own, **options)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.namespaces import Registry
 from ..functions.sequences import checksum_md5, digest
 from ..operators.ordered import running_sum
-from ..operators.residues import TILE
+from ..operators.residues import TILE, tiles_of_parts
 from .lines import provenance, read_records
 
 
@@ -39,13 +39,8 @@ def line_tiles(lines: DataFrame, registry: Registry | None = None, size: int = T
     numbered = running_sum(used, ["file"], ["place"], F.col("_head"), split, "_before").withColumn("record_no", F.col("_before") + F.col("_head"))
     named = numbered.where("_head = 1").withColumn("header", F.trim(F.substring("value", F.lit(2), F.length("value"))))
     named = named.select("file", "record_no", "header", header_ref(F.col("header"), registry).alias("ref"))
-    data = numbered.where("_head = 0 AND record_no > 0").select("file", "record_no", "place", F.upper(F.regexp_replace("value", r"\s+", "")).alias("_text"))
-    data = running_sum(data.where("_text <> ''"), ["file", "record_no"], ["place"], F.length("_text"), split, "_at")
-    end = F.col("_at") + F.length("_text")
-    cut = data.withColumn("tile_ix", F.explode(F.sequence(F.floor(F.col("_at") / size).cast("long"), F.floor((end - 1) / size).cast("long"))))
-    first, last = F.greatest("_at", F.col("tile_ix") * size), F.least(end, (F.col("tile_ix") + 1) * size)
-    part = F.substring("_text", (first - F.col("_at") + 1).cast("int"), (last - first).cast("int"))
-    joined = cut.groupBy("file", "record_no", "tile_ix").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(first.alias("at"), part.alias("t")))), lambda p: p["t"]), "").alias("residues"))
+    data = numbered.where("_head = 0 AND record_no > 0").select("file", "record_no", "place", F.upper(F.regexp_replace("value", r"\s+", "")).alias("text"))
+    joined = tiles_of_parts(data, ["file", "record_no"], size)
     sizes = joined.groupBy("file", "record_no").agg(F.sum(F.length("residues")).alias("length"))
     headers = named.join(sizes, ["file", "record_no"], "left").withColumn("length", F.coalesce("length", F.lit(0)))
     tiles = joined.join(named.where("ref IS NOT NULL").select("file", "record_no", "ref"), ["file", "record_no"])

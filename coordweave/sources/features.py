@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from ..functions.location import SEGMENT, extent, format_location_id, parse_loca
 from ..functions.namespaces import Registry
 from ..functions.sequences import checksum_md5, digest, infer_protein_length, three_prime_partial
 from ..operators.mapping import cds_error, cds_mapping, from_location, location_length, segment_offsets
-from ..operators.residues import TILE, alignment_identity, extract_locations
+from ..operators.ordered import carry_last, running_sum
+from ..operators.residues import TILE, alignment_identity, checksums_of_parts, extract_locations, tiles_of_parts
 from ..operators.validate import expected, validate_cds, validate_transcript, verdict
+from ..session import cut_lineage
 from .alignments import gap_runs
 from .fasta import line_tiles
 from .lines import EDGE_COLUMNS, Bundle, attributes, edge_key, edge_order, provenance
@@ -326,42 +330,71 @@ def _target_edges(alignments: DataFrame, registry: Registry, tile_table, tile_si
 _QUALIFIER = r'\n {21}/([^=\n"]+)(?:=("[^"]*+(?:""[^"]*+)*+"|[^\n]*))?'
 
 
-def parse_genbank(records: DataFrame) -> DataFrame:
-    """Flat-file records (split at ``//`` lines) to columns; features keep their qualifiers in order, flags as ''."""
-    text = F.regexp_replace("value", "\r", "")
-    staged = records.select(*[c for c in records.columns if c != "value"], F.concat(F.lit("\n"), text).alias("_t")).where("_t RLIKE '\\\\nLOCUS'")
+def _qualifier_value(raw: Column, name: Column) -> Column:
+    glue = F.when(name == "translation", F.regexp_replace(raw, r"\s*\n\s*", "")).otherwise(F.regexp_replace(raw, r"\s*\n\s*", " "))
+    quoted = glue.startswith('"') & glue.endswith('"') & (F.length(glue) > 1)
+    return F.when(quoted, F.regexp_replace(glue.substr(F.lit(2), F.length(glue) - 2), '""', '"')).otherwise(glue)
+
+
+def _qualifier(q: Column) -> Column:
+    name = F.trim(F.regexp_extract(q, r"^\n {21}/([^=\n]+)", 1))
+    raw = F.trim(F.regexp_extract(q, r"(?s)^\n {21}/[^=\n]+=(.*)$", 1))
+    return F.struct(name.alias("name"), _qualifier_value(raw, name).alias("value"))
+
+
+@dataclass
+class FlatFile:
+    """What the lines of flat-file records hold; ``rec`` (the place of a LOCUS line) and ``file`` name a record.
+
+    ``records``: what stands before the features. ``features``: ``f_ix, key, location, qualifiers`` in order, flags as ''.
+    ``residues``: ``place, text`` of the sequence lines.
+    """
+
+    records: DataFrame
+    features: DataFrame
+    residues: DataFrame
+
+
+def parse_genbank(lines: DataFrame) -> FlatFile:
+    """Flat-file records from their lines (``file, place, value``); no row holds more than a line or a feature.
+
+    What a line belongs to follows from the latest LOCUS line, section word and feature key at or before it: a state that is
+    carried along the lines, per split of the file. Lines before the first LOCUS and after a ``//`` belong to nothing.
+    """
+    value = F.col("value")
+    word = F.when(value.startswith("//"), F.lit("//")).when(value.rlike("^[A-Z]"), F.regexp_extract(value, "^([A-Z]+)", 1))
+    marks = {
+        "rec": F.when(word == "LOCUS", F.col("place")), "section": F.when(word.isNotNull(), F.struct(word.alias("word"), "place")),
+        "f_place": F.when(value.rlike(r"^ {5}\S"), F.col("place")),
+    }
+    told = carry_last(lines.select("file", "place", F.regexp_replace("value", "\r", "").alias("value")), ["file"], ["place"], marks, F.col("place.split"))
+    told = told.where("rec IS NOT NULL AND section.place >= rec").withColumn("word", F.col("section.word"))
+    told = cut_lineage(told.where("word IN ('LOCUS', 'DEFINITION', 'ACCESSION', 'VERSION', 'FEATURES', 'ORIGIN')"))
+    record = ["file", "rec"]
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n")
+    header = told.where("word NOT IN ('FEATURES', 'ORIGIN')").groupBy(*record).agg(F.concat(F.lit("\n"), whole).alias("_t"))
     locus = F.split(F.regexp_extract("_t", r"\nLOCUS\s+([^\n]*)", 1), r"\s+")
     rest = F.slice(locus, 4, 100)
     pick = lambda test: F.get(F.filter(rest, test), F.lit(0))
-    word = lambda head: F.nullif(F.regexp_extract("_t", rf"\n{head}\s+(\S+)", 1), F.lit(""))
+    named = lambda head: F.nullif(F.regexp_extract("_t", rf"\n{head}\s+(\S+)", 1), F.lit(""))
     definition = F.regexp_replace(F.regexp_extract("_t", r"\nDEFINITION\s+([^\n]*(?:\n[^A-Z\n][^\n]*)*+)", 1), r"\s*\n\s*", " ")
-    table = F.regexp_extract("_t", r"\nFEATURES[^\n]*((?:\n(?![A-Z])[^\n]*)*+)", 1)
-    origin = F.regexp_extract("_t", r"\nORIGIN[^\n]*((?:\n(?![A-Z])[^\n]*)*+)", 1)
-    sequence = F.upper(F.regexp_replace(origin, "[^A-Za-z]", ""))
-
-    def value(raw: Column, name: Column) -> Column:
-        glue = F.when(name == "translation", F.regexp_replace(raw, r"\s*\n\s*", "")).otherwise(F.regexp_replace(raw, r"\s*\n\s*", " "))
-        quoted = glue.startswith('"') & glue.endswith('"') & (F.length(glue) > 1)
-        return F.when(quoted, F.regexp_replace(glue.substr(F.lit(2), F.length(glue) - 2), '""', '"')).otherwise(glue)
-
-    def qualifier(q: Column) -> Column:
-        name = F.trim(F.regexp_extract(q, r"^\n {21}/([^=\n]+)", 1))
-        raw = F.trim(F.regexp_extract(q, r"(?s)^\n {21}/[^=\n]+=(.*)$", 1))
-        return F.struct(name.alias("name"), value(raw, name).alias("value"))
-
-    def feature(block: Column) -> Column:
-        body = F.concat(F.lit("\n"), F.lit(" " * 21), block.substr(F.lit(17), F.length(block)))
-        place = F.regexp_replace(F.regexp_extract(body, r"(?s)^(.*?)(?:\n {21}/|$)", 1), r"\s+", "")
-        found = F.regexp_extract_all(body, F.lit(f"({_QUALIFIER})"), F.lit(1))
-        return F.struct(F.trim(block.substr(F.lit(1), F.lit(16))).alias("key"), place.alias("location"), F.transform(found, qualifier).alias("qualifiers"))
-
-    blocks = F.filter(F.split(table, r"\n {5}(?=\S)"), lambda b: F.trim(b) != "")
-    return staged.select(
-        *[c for c in records.columns if c != "value"], F.get(locus, F.lit(0)).alias("name"), F.get(locus, F.lit(1)).try_cast("long").alias("length"),
+    records = header.select(
+        *record, F.get(locus, F.lit(0)).alias("name"), F.get(locus, F.lit(1)).try_cast("long").alias("length"),
         F.when(F.get(locus, F.lit(2)) == "aa", "aa").otherwise("bp").alias("unit"), pick(lambda x: x.rlike("(?i)(?:DNA|RNA)$")).alias("moltype"),
-        pick(lambda x: x.isin("linear", "circular")).alias("topology"), pick(lambda x: x.rlike("^[A-Z]{3}$")).alias("division"), word("ACCESSION").alias("accession"),
-        word("VERSION").alias("version"), F.nullif(definition, F.lit("")).alias("definition"), F.transform(blocks, feature).alias("features"), F.nullif(sequence, F.lit("")).alias("sequence"),
+        pick(lambda x: x.isin("linear", "circular")).alias("topology"), pick(lambda x: x.rlike("^[A-Z]{3}$")).alias("division"), named("ACCESSION").alias("accession"),
+        named("VERSION").alias("version"), F.nullif(definition, F.lit("")).alias("definition"),
+    )
+    table = told.where("word = 'FEATURES' AND f_place > section.place").groupBy(*record, "f_place").agg(whole.alias("_block"))
+    body = F.concat(F.lit("\n"), F.lit(" " * 21), F.substring("_block", F.lit(22), F.length("_block")))
+    place = F.regexp_replace(F.regexp_extract(body, r"(?s)^(.*?)(?:\n {21}/|$)", 1), r"\s+", "")
+    found = F.transform(F.regexp_extract_all(body, F.lit(f"({_QUALIFIER})"), F.lit(1)), _qualifier)
+    features = running_sum(
+        table.select(*record, "f_place", F.trim(F.substring("_block", 6, 16)).alias("key"), place.alias("location"), found.alias("qualifiers")),
+        record, ["f_place"], F.lit(1), F.col("f_place.split"), "f_ix",
     )
+    text = F.upper(F.regexp_replace("value", "[^A-Za-z]", ""))
+    residues = told.where("word = 'ORIGIN' AND place > section.place").select(*record, "place", text.alias("text")).where("text <> ''")
+    return FlatFile(records, features.drop("f_place"), residues)
 
 
 def _q(name: str) -> Column:
@@ -372,28 +405,32 @@ def _qs(name: str) -> Column:
     return F.transform(F.filter("qualifiers", lambda q: q["name"] == name), lambda q: q["value"])
 
 
-def ingest_genbank(records: DataFrame, registry: Registry | None = None, tile_table: DataFrame | None = None, transcripts: DataFrame | None = None, exclude: tuple[str, ...] = ("exon",), tile_size: int = TILE) -> Bundle:
+def ingest_genbank(lines: DataFrame, registry: Registry | None = None, tile_table: DataFrame | None = None, transcripts: DataFrame | None = None, exclude: tuple[str, ...] = ("exon",), tile_size: int = TILE) -> Bundle:
     """Edges, annotations and records of flat-file records; their own residues serve the checks."""
-    from ..operators.residues import tiles
-
     registry = registry or Registry()
-    parsed = parse_genbank(records)
-    parsed = parsed.withColumn("acc", F.coalesce("version", "accession", "name")).withColumn("ref", registry.accession_ref(F.col("acc")))
+    flat_file, record = parse_genbank(lines), ["file", "rec"]
+    acc = F.coalesce("version", "accession", "name")
+    parsed = flat_file.records.withColumn("acc", acc).withColumn("ref", registry.accession_ref(F.col("acc")))
     skipped = parsed.where("ref IS NULL").select(F.concat("acc", F.lit(": not an INSDC/RefSeq accession; record skipped")).alias("message"))
     parsed = parsed.where("ref IS NOT NULL").withColumn("_unit", F.when(F.col("unit") == "aa", "aa").otherwise("nt"))
-    source = F.get(F.filter("features", lambda f: f["key"] == "source"), F.lit(0))["qualifiers"]
-    value = lambda test: F.get(F.filter(source, test), F.lit(0))["value"]
+    source = flat_file.features.where("key = 'source'").groupBy(*record).agg(F.min_by("qualifiers", "f_ix").alias("_source"))
+    value = lambda test: F.get(F.filter("_source", test), F.lit(0))["value"]
     taxon = F.regexp_extract(value(lambda q: (q["name"] == "db_xref") & q["value"].startswith("taxon:")), r"^taxon:(\d+)", 1).try_cast("long")
-    parsed = parsed.withColumn("taxon", taxon).withColumn("organism", value(lambda q: q["name"] == "organism"))
+    parsed = parsed.join(source, record, "left").withColumn("taxon", taxon).withColumn("organism", value(lambda q: q["name"] == "organism")).drop("_source")
+    parsed = cut_lineage(parsed)
     moltype = F.when(F.col("unit") == "aa", "protein").when(F.col("moltype").rlike("(?i)RNA"), "RNA").otherwise("DNA")
-    own = parsed.select(
-        "ref", moltype.alias("moltype"), F.col("_unit").alias("unit"), "length", "topology", "taxon", digest(F.col("sequence")).alias("digest"),
-        checksum_md5(F.col("sequence")).alias("md5"), provenance("gbff", F.col("acc")).alias("provenance"), "organism",
+    id_ = F.concat_ws("|", "file", F.col("rec.split"), F.col("rec.row"))
+    sums = checksums_of_parts(flat_file.residues.withColumn("id", id_)).select(F.col("id").alias("_id"), "digest", "md5")
+    own = parsed.join(sums, id_ == F.col("_id"), "left").select(
+        "ref", moltype.alias("moltype"), F.col("_unit").alias("unit"), "length", "topology", "taxon", "digest", "md5", provenance("gbff", F.col("acc")).alias("provenance"), "organism",
     )
-    residues = tiles(parsed.where("sequence IS NOT NULL AND unit <> 'aa'"), "ref", "sequence", size=tile_size)
+    of_record = flat_file.residues.join(parsed.select(*record, "ref", "unit"), record)
+    residues = tiles_of_parts(of_record.where("unit <> 'aa'").select(*record, "ref", "place", "text"), [*record, "ref"], tile_size)
+    residues = residues.select("ref", "tile_ix", F.lit(0).alias("tile_off"), "residues")
     known = residues if tile_table is None else residues.unionByName(tile_table)
-    flat = parsed.select("ref", "acc", "_unit", F.col("length").alias("rec_length"), F.col("sequence").alias("rec_sequence"), "taxon", "organism", F.posexplode("features").alias("f_ix", "f"))
-    flat = flat.where("f.key <> 'source'").select("ref", "acc", "_unit", "rec_length", "rec_sequence", "taxon", "organism", "f_ix", "f.key", "f.location", "f.qualifiers")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    proteins = of_record.where("unit = 'aa'").groupBy(*record).agg(F.array_join(listed, "").alias("rec_sequence"))
+    flat = flat_file.features.where("key <> 'source'").join(parsed.select(*record, "ref", "acc", "_unit", F.col("length").alias("rec_length"), "taxon", "organism"), record)
     flat = flat.withColumn("fid", F.concat_ws("|", "ref", "f_ix")).withColumn("text", F.concat("ref", F.lit(":"), "location")).withColumnRenamed("location", "raw_location")
     units = parsed.select("ref", F.col("_unit").alias("unit"), F.lit(0).cast("long").alias("length")).distinct()
     located = parse_locations(flat, "text", "fid", registry, units)
@@ -426,7 +463,7 @@ def ingest_genbank(records: DataFrame, registry: Registry | None = None, tile_ta
         F.lit(None).cast("long").alias("own_length"), F.upper(_q("translation")).alias("translation"), *columns,
     )
     # GenPept: the protein's record names the nucleotides that code for it.
-    aa = coding.where("_unit = 'aa'").withColumn("coded_by", F.regexp_replace(_q("coded_by"), r"\s+", ""))
+    aa = coding.where("_unit = 'aa'").join(proteins, record, "left").withColumn("coded_by", F.regexp_replace(_q("coded_by"), r"\s+", ""))
     aa = aa.withColumn("coded_ref", registry.accession_ref(F.regexp_extract("coded_by", r"([A-Za-z0-9_]+\.\d+):", 1)))
     unusable = unusable.unionByName(aa.where("coded_ref IS NULL").select(F.concat("acc", F.lit(": CDS without a usable /coded_by")).alias("message")))
     back = aa.where("coded_ref IS NOT NULL").select(F.col("fid").alias("cid"), F.concat("coded_ref", F.lit(":"), "coded_by").alias("ctext"))
@@ -437,9 +474,9 @@ def ingest_genbank(records: DataFrame, registry: Registry | None = None, tile_ta
         F.col("rec_sequence").alias("translation"), *columns,
     )
     cds = _cds_edges(direct.unionByName(coded), known, None, ("translation", "inferred"), guess_table=False, tile_size=tile_size)
-    proteins = cds.sequences.join(own.select("ref"), "ref", "left_anti").join(direct.select(F.col("from_ref").alias("ref")).distinct(), "ref", "left_semi")
-    proteins = proteins.withColumn("organism", F.lit(None).cast("string"))
+    made = cds.sequences.join(own.select("ref"), "ref", "left_anti").join(direct.select(F.col("from_ref").alias("ref")).distinct(), "ref", "left_semi")
+    made = made.withColumn("organism", F.lit(None).cast("string"))
     return Bundle(
-        sequences=own.unionByName(proteins), edges=t_edges.unionByName(cds.edges), blocks=t_blocks.unionByName(cds.blocks), annotations=annotations,
+        sequences=own.unionByName(made), edges=t_edges.unionByName(cds.edges), blocks=t_blocks.unionByName(cds.blocks), annotations=annotations,
         warnings=skipped.unionByName(bad).unionByName(unusable).unionByName(cds.warnings), residues=residues,
     )
