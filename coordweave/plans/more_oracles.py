@@ -32,8 +32,9 @@ ORACLES |= {
     "annotation_overlap": """WITH e AS (SELECT event_id, user_id AS ref, datediff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS sec FROM events),
         h AS (SELECT DISTINCT ref, sec // 3600 AS hour FROM e)
         SELECT h.ref, hour, count(*) AS n, min(event_id) AS first_event FROM h JOIN e ON e.ref = h.ref AND e.sec >= hour * 3600 - 900 AND e.sec < hour * 3600 + 4500 GROUP BY 1, 2""",
-    "mismatch_lookup": f"""WITH {SEG} SELECT x.f, x.t, x.src AS block, count(*) AS n, min(y.tgt + y.len % 13) AS first_pos
-        FROM seg x JOIN seg y ON x.f = y.f AND x.t = y.t AND y.tgt + y.len % 13 BETWEEN x.tgt AND x.tgt + x.len - 1 GROUP BY 1, 2, 3""",
+    "mismatch_lookup": f"""WITH {SEG}, m AS (SELECT f, t, tgt + len % 13 AS pos, substr('ACGT', len % 4 + 1, 1) || '>' || substr('ACGT', (len + 1) % 4 + 1, 1) AS change FROM seg)
+        SELECT x.f || ':' || x.t AS edge_key, x.src AS block, string_agg('base ' || x.t || ':' || (pos + 1) || ' ' || change, ';' ORDER BY pos, change) AS bases
+        FROM seg x JOIN m ON x.f = m.f AND x.t = m.t AND pos BETWEEN x.tgt AND x.tgt + x.len - 1 GROUP BY 1, 2""",
     "store_summary": """SELECT 'moltype' AS what, coalesce(CASE WHEN p_size > 5 THEN p_brand END, 'unknown') AS name, count(*) AS n FROM part GROUP BY 2
         UNION ALL SELECT 'kind', l_returnflag, count(*) FROM lineitem GROUP BY 2
         UNION ALL SELECT 'taxon', CAST(p_size AS VARCHAR), count(*) FROM part WHERE p_size <> 7 GROUP BY 2

@@ -9,7 +9,6 @@ from ..functions.faldo import faldo_json
 from ..functions.location import format_location, format_location_id, parse_locations
 from ..functions.namespaces import Registry
 from ..operators import dims, search
-from ..operators.overlap import overlap_join
 from ..operators.residues import tiles
 from ..operators.validate import MAX_MISMATCH_RATE, align_proteins, sampled_identity
 from ..sources import alignments as al
@@ -72,10 +71,10 @@ def edge_cost(spark, sf):
 @query
 def alignment_shadow(spark, sf):
     """Annotation lines of an (order, supplier) pair that an alignment line of the same pair hides."""
-    items = tb.load(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
-    aligned = items.where("l_returnflag = 'N'").select("l_orderkey", "l_suppkey").distinct()
-    kept = items.where("l_returnflag <> 'A'").unionByName(items.where("l_returnflag = 'A'").join(aligned, ["l_orderkey", "l_suppkey"], "left_anti"))
-    return kept.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("l_returnflag") == "A", "annotation").when(F.col("l_returnflag") == "N", "alignment").otherwise("liftover")
+    items = tb.load(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_orderkey").alias("from_ref"), F.col("l_suppkey").alias("to_ref"), kind.alias("edge_kind"))
+    kept = search.without_shadowed(items, ["l_orderkey"])
+    return kept.groupBy(F.col("to_ref").alias("l_suppkey"), "l_returnflag").agg(F.count("*").alias("n"))
 
 
 @query
@@ -111,12 +110,12 @@ def annotation_overlap(spark, sf):
 
 @query
 def mismatch_lookup(spark, sf):
-    """Single positions of an edge inside the blocks of the same edge."""
-    items = _items(spark, sf)
-    points = items.select("f", "t", (F.col("tgt") + F.col("len") % 13).alias("pos"), (F.col("tgt") + F.col("len") % 13 + 1).alias("pos_end"))
-    spans = items.select("f", "t", F.col("src").alias("block"), "start", "stop")
-    met = overlap_join(spans, points, ["f", "t"], ("start", "stop"), ("pos", "pos_end"), SHORT)
-    return met.groupBy("f", "t", "block").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    """Differing bases of an edge inside the blocks of the same edge, as a search lists them."""
+    items = _items(spark, sf).withColumn("edge_key", F.concat_ws(":", "f", "t"))
+    letter = lambda n: F.substring(F.lit("ACGT"), (n % 4 + 1).cast("int"), F.lit(1))
+    wrong = items.select("edge_key", F.col("t").alias("ref"), (F.col("tgt") + F.col("len") % 13).alias("pos"), letter(F.col("len")).alias("a"), letter(F.col("len") + 1).alias("b"))
+    spans = items.select(F.col("src").alias("block"), "edge_key", F.col("t").alias("ref"), "start", F.col("stop").alias("end"))
+    return search.differences_on(spans, wrong, ["block"], SHORT).select("edge_key", "block", F.array_join("_bases", ";").alias("bases"))
 
 
 @query
