@@ -32,8 +32,9 @@ class Coordinates:
 
     @cached_property
     def graph(self) -> DataFrame:
-        """Blocks of all stores as the search reads them: written on first use, read by every later call."""
-        return search.prepare_graph(self.blocks, self.edges, self.scope, self.registry)
+        """Blocks of all stores as the search reads them: the stores' own tables; written on first use if one lacks them."""
+        kept = self.stores.graph()
+        return search.prepare_graph(self.blocks, self.edges) if kept is None else kept
 
     # ---- inputs -------------------------------------------------------------------------------------------------
 

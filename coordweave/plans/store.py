@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators.dims import first_per_key
 from ..operators.overlap import LADDER, level_of
+from ..operators.search import placed_blocks
 from ..sources.lines import Bundle
 
 VERSION = "1"
+GRAPH = "placed_block"
 TABLES = ("sequence", "edge", "block", "annotation", "mismatch", "warning")
 META = (
     "store string, label string, taxon long, organism string, assembly string, species_taxon long, released string, ucsc string, accession string, "
@@ -41,6 +43,10 @@ def write_store(bundle: Bundle, path: str, spark: SparkSession, overwrite: bool
         # Bin widths in use, at most one row per rung; later joins need not measure again.
         levels = spark.read.parquet(f"{path}/block").select(level_of(F.lit(0), F.col("len"), LADDER).alias("r")).distinct()
         rungs = sorted(row.r for row in levels.limit(len(LADDER)).collect())
+        if bundle.edges is not None:
+            # What a search reads: made once with the store, so that sessions write nothing.
+            placed = placed_blocks(spark.read.parquet(f"{path}/block"), spark.read.parquet(f"{path}/edge"))
+            _sorted(placed, ["bucket", "src_ref", "src"], partitions).write.mode(mode).partitionBy("bucket").parquet(f"{path}/{GRAPH}")
     row = {"version": VERSION, "rungs": rungs, **meta}
     names = [c.split()[0] for c in META.split(", ")]
     spark.createDataFrame([tuple(row.get(n) for n in names)], META).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
@@ -63,13 +69,19 @@ class StoreSet:
         if found != {(VERSION,)}:
             raise ValueError(f"store versions {sorted(v for v, in found)}; this reader accepts {VERSION}")
 
-    def table(self, name: str) -> DataFrame | None:
-        parts = []
+    def graph(self) -> DataFrame | None:
+        """The placed blocks of all stores; None if a store with blocks was written without them."""
+        blocks, placed = self._held("block"), self._held(GRAPH)
+        return _union([self.spark.read.parquet(f"{p}/{GRAPH}").withColumn("store_ord", F.lit(i)) for i, p in placed]) if placed and placed == blocks else None
+
+    def _held(self, name: str) -> list[tuple[int, str]]:
+        """(order, path) of the stores that have a table."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for i, path in enumerate(self.paths):
-            where = hadoop.Path(f"{path}/{name}")
-            if where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-                parts.append(self.spark.read.parquet(f"{path}/{name}").withColumn("store_ord", F.lit(i)))
+        where = [(i, p, hadoop.Path(f"{p}/{name}")) for i, p in enumerate(self.paths)]
+        return [(i, p) for i, p, at in where if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)]
+
+    def table(self, name: str) -> DataFrame | None:
+        parts = [self.spark.read.parquet(f"{path}/{name}").withColumn("store_ord", F.lit(i)) for i, path in self._held(name)]
         return _union(parts) if parts else None
 
 
