@@ -6,8 +6,10 @@ from coordweave.functions import sequences as seqs
 from coordweave.operators import dims
 from coordweave.operators.ordered import consecutive_groups, running_sum, union_intervals
 from coordweave.operators.overlap import measured_ladder, overlap_join
+from coordweave.operators.pages import following, nth, paged
 from coordweave.operators.residues import alignment_identity, block_mismatches, slices, tiles
 from coordweave.operators.validate import align_pair
+from coordweave.operators.verify import round_trips
 from coordweave.sources.alignments import one_to_one
 
 
@@ -156,3 +158,29 @@ def test_species_and_assemblies(spark):
     assert found == {"grch38": "GRCh38.p14", "hg19": "GRCh37.p13", "gcf_2": "GRCh38.p14", "zzz": None}
     scope = {r.ref: (r.taxon, r.assembly, r.category) for r in dims.sequence_scope(records.withColumn("length", F.lit(0)).withColumn("digest", F.lit(None).cast("string")).withColumn("tags", F.array().cast("array<string>")), meta).collect()}
     assert scope == {"refseq:NC_000001.10": (9606, "GRCh37.p13", "genome"), "refseq:NM_1.1": (3197, None, "transcript")}
+
+
+def test_pages_are_the_ordered_whole(spark):
+    rows = [(n * 7919 % 1000 if n % 50 else None, "ab"[n % 2], n) for n in range(2500)]
+    df = spark.createDataFrame(rows, "start int, ref string, id int").repartition(7)
+    order = ["ref", "start", "id"]
+    want = sorted(rows, key=lambda r: (r[1], r[0] is not None, r[0] or 0, r[2]))
+    got = [tuple(r) for r in paged(df, order, 400).orderBy("rank").collect()]
+    assert got == [(*r, k, k // 400) for k, r in enumerate(want)]
+    turned, after = [], None
+    for _ in range(4):
+        page = following(df, order, after, 700).collect()
+        turned += [tuple(r) for r in page]
+        after = page[-1].asDict()
+    assert turned == want and following(df, order, after, 700).collect() == []
+    assert [tuple(r)[:3] for r in nth(df, order, [0, 100, 2499]).orderBy("rank").collect()] == [want[0], want[100], want[2499]]
+    assert paged(df.limit(0), order, 3).count() == 0
+
+
+def test_round_trips_count_units_that_come_back(spark):
+    blocks = spark.createDataFrame(
+        [("e", 0, "a", 0, "b", 100, 10, False), ("e", 1, "a", 10, "b", 105, 10, True), ("f", 0, "a", 0, "c", 0, 1, False)],
+        "edge_key string, ix long, src_ref string, src long, tgt_ref string, tgt long, len long, rev boolean",
+    )
+    got = {r.edge_key: (r.units, r.returned, r.alone) for r in round_trips(blocks, ["edge_key"], samples=10).collect()}
+    assert got == {"e": (20, 20, 10), "f": (1, 1, 1)}
