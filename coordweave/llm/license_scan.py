@@ -4,7 +4,8 @@ The set-similarity join compares text blocks with templates by containment: the
 block holds. Words are ordered by how many documents hold them, rarest first. A block that reaches the threshold holds one
 of a template's first ``|T| - need + 1`` words (prefix filter), has ``need`` distinct words (length filter), and enough of
 the template's words follow the first that it holds (positional filter); what is left is verified. No text block above
-the threshold is missed. Blocks are lines; a line of more than ``BLOCK`` words is cut into overlapping blocks of as many.
+the threshold is missed. Blocks are ``BLOCK`` words of the whole text, one every ``STEP`` words and across line ends, so
+every notice of up to ``BLOCK - STEP + 1`` words stands whole in a block however it is wrapped.
 
 The templates are few and fixed, so their words (a bounded table) go to every task; blocks never leave theirs.
 
@@ -42,7 +43,7 @@ TEMPLATES = (
     ("all-rights-reserved", "copyright all rights reserved"),
 )
 CONTAINMENT = 0.9
-BLOCK = 64
+BLOCK, STEP = 64, 32  # words
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of text in any case
@@ -86,17 +87,16 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
     return F.filter(F.when(F.size(words) > 0, places), lambda p: p["label"].isNotNull())
 
 
-def blocks(text: Column) -> Column:
-    """Distinct words of every block of the text."""
-    lines = F.transform(F.split(text, "\n"), split_words)
-    step = BLOCK // 2
-    cut = F.transform(
-        lines,
-        lambda line: F.when(F.size(line) <= BLOCK, F.array(line)).otherwise(
-            F.transform(F.sequence(F.lit(0), F.floor((F.size(line) - BLOCK - 1) / step).cast("int") + 1), lambda i: F.slice(line, i * step + 1, F.lit(BLOCK)))
-        ),
-    )
-    return F.transform(F.flatten(cut), lambda block: F.array_distinct(block))
+def blocks(text: Column, wanted: Column) -> Column:
+    """Distinct words of every block of the text that holds one of the words ``wanted``."""
+
+    def cut(words: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(words) - BLOCK) / STEP).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * STEP + 1, F.lit(BLOCK)))
+
+    # A one-element array binds the words to a name, so that they are split once.
+    cuts = F.flatten(F.transform(F.array(split_words(text)), cut))
+    return F.transform(F.filter(cuts, lambda block: F.arrays_overlap(block, wanted)), lambda block: F.array_distinct(block))
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -127,7 +127,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
         F.array_min(F.transform("_places", lambda p: p["at"])).cast("long").alias("first_word"),
         F.array_max(F.transform("_places", lambda p: p["at"])).cast("long").alias("last_word"),
         F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("_places", lambda p: p["label"]))), ","), F.lit("")).alias("base_labels"),
-        F.filter(F.when(F.col("_block_text").isNotNull(), blocks(F.col("_block_text"))), lambda b: F.arrays_overlap(b, F.array(*map(F.lit, rare)))).alias("_blocks"),
+        F.when(F.col("_block_text").isNotNull(), blocks(F.col("_block_text"), F.array(*map(F.lit, rare)))).alias("_blocks"),
     )
     keys = ["_row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     block = rows.select(*keys, F.explode_outer("_blocks").alias("_block"))
@@ -159,8 +159,7 @@ w AS (SELECT r, doc_id, t, {split('t')} AS ws FROM d),
 phrases(p, label) AS (VALUES {phrase_rows}),
 places AS (SELECT r, label, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1 : i + len(p)] = p)) AS i FROM w, phrases WHERE list_contains(ws, p[1])),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS bl FROM places GROUP BY r),
-lines AS (SELECT r, {split('line')} AS ws FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-blocks AS (SELECT r, unnest(CASE WHEN len(ws) <= {BLOCK} THEN [ws] ELSE list_transform(range(0, (len(ws) - {BLOCK} - 1) // {BLOCK // 2} + 2), lambda i: ws[i * {BLOCK // 2} + 1 : i * {BLOCK // 2} + {BLOCK}]) END) AS b FROM lines WHERE len(ws) > 0),
+blocks AS (SELECT r, unnest(list_transform(range(0, CAST(greatest(ceil((len(ws) - {BLOCK}) / {STEP}), 0) AS BIGINT) + 1), lambda i: ws[i * {STEP} + 1 : i * {STEP} + {BLOCK}])) AS b FROM w WHERE len(ws) > 0),
 templates(tw, label) AS (VALUES {template_rows}),
 hits AS (SELECT r, label, len(list_intersect(tw, b)) / len(tw) AS share FROM blocks, templates WHERE len(list_intersect(tw, b)) >= ceil({containment} * len(tw) - 1e-9)),
 method AS (SELECT r, list(DISTINCT label) AS ml, max(share) AS best FROM hits GROUP BY r)

@@ -186,7 +186,7 @@ def fit(sample: DataFrame):
     def chance(features: DataFrame) -> DataFrame:
         return boosted.transform(features).withColumn("_chance", vector_to_array("_p")[1]).drop("_features", "_class", "_p", "_raw", *COLUMNS)
 
-    if min(classes.get((c, True), 0) for c in (0, 1)) < 10:  # too few to calibrate on
+    if min(classes.get((c, True), 0) for c in (0, 1)) == 0:  # one class alone says nothing about chances
         return lexicon, lambda features: chance(features).withColumnRenamed("_chance", "_score")
     isotonic = IsotonicRegression(featuresCol="_chance", labelCol="toxic", predictionCol="_calibrated")
     calibration = isotonic.fit(chance(rows.where("calibrates")))

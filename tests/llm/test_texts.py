@@ -142,6 +142,25 @@ LICENCES = [
 ]
 
 
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n",
+    "mpl-2.0": "# This Source Code Form is subject to the terms of the\n# Mozilla Public License, v. 2.0. If a copy of the MPL\n",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published; either version 2\n",
+}
+
+
+def test_wrapped_notices_anywhere_in_a_text(spark):
+    texts = [(label, "word " * before + "\n" + notice + "tail\n" * after) for label, notice in WRAPPED.items() for before in (0, 31, 45, 1000) for after in (0, 500)]
+    docs = table(spark, [(i, "s", text) for i, (_, text) in enumerate(texts)])
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    for i, (label, _) in enumerate(texts):
+        assert label in got[i].labels.split(",") and got[i].score >= 0.9, (label, got[i])
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert sorted(map(tuple, got.values())) == sorted(con.sql(scan_sql()).fetchall())
+
+
 def test_license_scan(spark):
     texts = [*AWKWARD, *LICENCES]
     docs = table(spark, texts)
