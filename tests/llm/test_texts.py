@@ -152,7 +152,7 @@ WRAPPED = {
 
 def test_wrapped_notices_anywhere_in_a_text(spark):
     texts = [(label, "word " * before + "\n" + notice + "tail\n" * after) for label, notice in WRAPPED.items() for before in (0, 31, 45, 1000) for after in (0, 500)]
-    docs = table(spark, [(i, "s", text) for i, (_, text) in enumerate(texts)])
+    docs = table(spark, [text for _, text in texts])
     got = {r.doc_id: r for r in scan_licenses(docs).collect()}
     for i, (label, _) in enumerate(texts):
         assert label in got[i].labels.split(",") and got[i].score >= 0.9, (label, got[i])
