@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from .plans.store import write_store
+from .plans.store import upsert_store, write_store
 from .session import build_session
 from .sources.dispatch import read_any
 from .sources.fasta import line_tiles
@@ -25,6 +25,7 @@ def main(arguments: list[str] | None = None) -> None:
     ingest.add_argument("--taxon", type=int)
     ingest.add_argument("--assembly")
     ingest.add_argument("--overwrite", action="store_true")
+    ingest.add_argument("--grow", action="store_true", help="merge into the store that is there; only stores made this way can grow")
     given = parser.parse_args(arguments)
 
     spark = build_session()
@@ -32,7 +33,11 @@ def main(arguments: list[str] | None = None) -> None:
     tiles = line_tiles(read_lines(spark, given.fasta))[1] if given.fasta else None
     bundle = read_any(spark, given.file, names(given.report), names(given.to_report), tiles)
     label = given.store or given.file.rstrip("/").rsplit("/", 1)[-1]
-    write_store(bundle, given.out, spark, given.overwrite, store=label, label=label, taxon=given.taxon, assembly=given.assembly)
+    meta = {"store": label, "label": label, "taxon": given.taxon, "assembly": given.assembly}
+    if given.grow:
+        upsert_store(bundle, given.out, spark, **meta)
+    else:
+        write_store(bundle, given.out, spark, given.overwrite, **meta)
 
 
 if __name__ == "__main__":

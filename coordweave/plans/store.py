@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dims import first_per_key
 from ..operators.overlap import LADDER, level_of
 from ..operators.search import placed_blocks
 from ..sources.lines import Bundle
+from .versions import VersionedTable, exists
 
 VERSION = "1"
 GRAPH = "placed_block"
+PLACE = "place"
 TABLES = ("sequence", "edge", "block", "annotation", "mismatch", "warning")
 META = (
     "store string, label string, taxon long, organism string, assembly string, species_taxon long, released string, ucsc string, accession string, "
@@ -47,11 +49,54 @@ def write_store(bundle: Bundle, path: str, spark: SparkSession, overwrite: bool
             # What a search reads: made once with the store, so that sessions write nothing.
             placed = placed_blocks(spark.read.parquet(f"{path}/block"), spark.read.parquet(f"{path}/edge"))
             _sorted(placed, ["bucket", "src_ref", "src"], partitions).write.mode(mode).partitionBy("bucket").parquet(f"{path}/{GRAPH}")
-    row = {"version": VERSION, "rungs": rungs, **meta}
+    _write_meta(spark, path, mode, {"rungs": rungs, **meta})
+
+
+def _write_meta(spark: SparkSession, path: str, mode: str, meta: dict) -> None:
+    row = {"version": VERSION, **meta}
     names = [c.split()[0] for c in META.split(", ")]
     spark.createDataFrame([tuple(row.get(n) for n in names)], META).coalesce(1).write.mode(mode).parquet(f"{path}/meta")
 
 
+def _row_digest(df: DataFrame) -> Column:
+    return F.md5(F.to_json(F.struct(*[c for c in sorted(df.columns) if c not in ("annotation_ix", "warning_ix")])))
+
+
+#: Tables of a store that grows: how rows merge, and the key that orders their ranges (what lies together on a sequence first).
+GROWING = {
+    "sequence": ("fill", lambda df: F.col("ref")),
+    "edge": ("keep", lambda df: F.concat_ws("|", "from_ref", "edge_key")),
+    "block": ("keep", lambda df: F.concat_ws("|", "src_ref", "edge_key")),
+    "annotation": ("keep", lambda df: F.concat_ws("|", "location", _row_digest(df))),
+    "mismatch": ("keep", lambda df: F.concat_ws("|", "ref", "edge_key")),
+    "warning": ("keep", _row_digest),
+}
+
+
+def upsert_store(bundle: Bundle, path: str, spark: SparkSession, range_rows: int | None = None, **meta) -> dict[str, int]:
+    """Merge a bundle into the store at ``path`` (a new one, if there is none); the version of every table.
+
+    Fields of sequences that are missing are filled, known ones stay; edges, blocks, annotations and mismatches that are
+    there stay, new ones are added. Only key ranges that change are written; what is there already changes nothing. The
+    metadata of the first bundle stays. Searches place the blocks of such a store themselves.
+    """
+    if exists(spark, f"{path}/meta") and any(exists(spark, f"{path}/{n}") and not exists(spark, f"{path}/{n}/manifest") for n in TABLES):
+        raise ValueError(f"{path} was written as a whole; only stores made by upsert_store grow")
+    parts = {
+        "sequence": bundle.sequences, "edge": bundle.edges, "block": bundle.blocks, "annotation": bundle.annotations,
+        "mismatch": bundle.mismatches, "warning": bundle.warnings,
+    }
+    versions = {}
+    for name, df in parts.items():
+        if df is not None:
+            mode, key = GROWING[name]
+            table = VersionedTable(spark, f"{path}/{name}", PLACE, mode, **({"range_rows": range_rows} if range_rows else {}))
+            versions[name] = table.upsert(df.withColumn(PLACE, F.coalesce(key(df), F.lit(""))))
+    if not exists(spark, f"{path}/meta/_SUCCESS"):
+        _write_meta(spark, path, "overwrite", {"rungs": [], **meta})
+    return versions
+
+
 def input_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
     """MD5 of every input file, computed where the file is read."""
     files = spark.read.format("binaryFile").load(paths)
@@ -76,14 +121,19 @@ class StoreSet:
 
     def _held(self, name: str) -> list[tuple[int, str]]:
         """(order, path) of the stores that have a table."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        where = [(i, p, hadoop.Path(f"{p}/{name}")) for i, p in enumerate(self.paths)]
-        return [(i, p) for i, p, at in where if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)]
+        return [(i, p) for i, p in enumerate(self.paths) if exists(self.spark, f"{p}/{name}")]
 
     def table(self, name: str) -> DataFrame | None:
-        parts = [self.spark.read.parquet(f"{path}/{name}").withColumn("store_ord", F.lit(i)) for i, path in self._held(name)]
+        read = [(i, self._read(f"{path}/{name}")) for i, path in self._held(name)]
+        parts = [df.withColumn("store_ord", F.lit(i)) for i, df in read if df is not None]
         return _union(parts) if parts else None
 
+    def _read(self, path: str) -> DataFrame | None:
+        if not exists(self.spark, f"{path}/manifest"):
+            return self.spark.read.parquet(path)
+        grown = VersionedTable(self.spark, path, PLACE).read()
+        return None if grown is None else grown.drop(PLACE)
+
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
