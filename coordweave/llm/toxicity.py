@@ -9,7 +9,8 @@ The training sample is bounded (``TRAINING_ROWS``, about), and so are the lexico
 every task.
 
 Defined results: a null or empty text has features of zero and gets a score; repeated rows get equal scores; without
-labelled rows of both classes every score is the share of toxic rows (0 without any); an empty table gives no rows;
+labelled rows of both classes every score is the share of toxic rows (0 without any); where the calibrating rows are of one
+class only, scores are those of the trees; of an id with several texts the smallest is learned from; an empty table gives no rows;
 columns other than ``doc_id`` and ``text`` are ignored
 (those of ``drop_toxic`` are kept; names that begin with an underscore are reserved).
 """
@@ -67,9 +68,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
     share = min(1.0, rows / max(known.count(), 1))
     draw = F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30))
     chosen = known.where(draw < int(share * (1 << 30))).withColumn("calibrates", F.pmod(F.xxhash64("_id", F.lit(SEED + 1)), F.lit(4)) == 0)
-    # The ids of the sample are bounded; a document given twice counts once.
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"])
-    return joined.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "calibrates")
+    # The ids of the sample are bounded; a document given twice counts once, by its smallest text.
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return joined.groupBy("_id", "toxic", "calibrates").agg(F.min("text").alias("text")).select("text", "toxic", "calibrates")
 
 
 def draw_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
