@@ -1,6 +1,7 @@
 """Source mix, toxicity and the pipeline."""
 
 import zlib
+from unittest import mock
 
 import corpus_pipeline
 import numpy as np
@@ -11,6 +12,7 @@ import coordweave.llm.queries  # noqa: F401
 from coordweave.llm.registry import QUERIES
 from coordweave.llm.simhash import near_duplicates
 from coordweave.llm.toxicity import drop_toxic, score_toxicity
+from pyspark.ml.regression import IsotonicRegression
 
 from .brute import AWKWARD, VOCABULARY, prose, removed_bytes, table, words
 
@@ -138,3 +140,25 @@ def test_pipeline_stages(spark, tmp_path):
 def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in QUERIES} >= {f"op{n}" for n in range(1, 11)}
     assert VOCABULARY
+
+
+def test_training_rows_take_the_smallest_text_of_an_id(spark):
+    from coordweave.llm.toxicity import training_rows
+
+    docs = spark.createDataFrame([(n, t) for n in range(12) for t in (f"b{n}", f"a{n}", f"c{n}", f"a{n}")] + [(100, None), (100, "x"), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in (*range(12), 100)] + [(3, 1), (None, 1)], "doc_id long, toxic int")
+    got = sorted((r.text, r.toxic) for r in training_rows(docs, labels).collect())
+    learned = [n for n in (*range(12), 100) if zlib.crc32(str(n).encode()) % 4 != 2]
+    assert got == sorted((f"a{n}" if n < 12 else "", n % 2) for n in learned)
+
+
+def test_few_rows_are_calibrated_where_both_classes_occur(spark):
+    from coordweave.llm.toxicity import training_rows
+
+    rows = [(n, "you vile awful brute" if n % 2 else "a calm and pleasant day") for n in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, toxic int")
+    classes = training_rows(docs, labels).where("calibrates").groupBy("toxic").count().collect()
+    assert len(classes) == 2 and all(r["count"] < 10 for r in classes)
+    with mock.patch("coordweave.llm.toxicity.IsotonicRegression", side_effect=IsotonicRegression) as used:
+        got = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
+    assert used.called and len(got) == 60 and all(0 <= r.score <= 1 for r in got.values())
