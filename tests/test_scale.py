@@ -75,3 +75,15 @@ def test_rows_cut_from_their_lineage_are_packed(spark, tmp_path):
     kept = cut_lineage(df)
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, df.collect()))
     assert "parquet" in kept._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_cells_of_a_line_are_made_once(spark):
+    """A filter on the cells does not split the line again."""
+    lines = lines_of(spark, ["NC_1.1\tx\tgene\t1\t2\t.\t+\t.\tID=a%3Db;ID=c=d,e;k="])
+    plan = features.parse_gff3(lines)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 1
+    assert features.parse_gff3(lines)[0].first()["attributes"] == {"ID": ["c=d", "e"], "k": [""]}
+    names = spark.createDataFrame([("chr1", "refseq:NC_1")], "alias string, ref string")
+    bed = tabular.ingest_bed(lines_of(spark, ["chr1\t1\t9\tn"]), names).annotations
+    assert bed._jdf.queryExecution().optimizedPlan().toString().count("split(value") <= 2  # for the names, and for the rows
+    assert bed.first()["location"] == "refseq:NC_1:2..9"
