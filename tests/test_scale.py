@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from coordweave.operators import convert as cv
+from coordweave.operators import mapping as mp
 from coordweave.operators import ordered
 from coordweave.operators.images import common_blocks, shared_pieces
+from coordweave.operators.verify import round_trips
 from coordweave.plans import tables as tb
 from coordweave.session import cut_lineage
 from coordweave.sources import features, tabular
@@ -87,3 +90,20 @@ def test_cells_of_a_line_are_made_once(spark):
     bed = tabular.ingest_bed(lines_of(spark, ["chr1\t1\t9\tn"]), names).annotations
     assert bed._jdf.queryExecution().optimizedPlan().toString().count("split(value") <= 2  # for the names, and for the rows
     assert bed.first()["location"] == "refseq:NC_1:2..9"
+
+
+def test_hits_without_between_positions_are_joined_once(spark):
+    segments = tb.order_segments(spark, "/root/testdata/sf0.001")
+    blocks = mp.invert(tb.blocks(spark, "/root/testdata/sf0.001"))
+    found = cv.target_segments(cv.hits(segments, blocks, ["query_id"], ladder=(6,)), ["query_id"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    one = spark.createDataFrame([(1, "join", 0, "x", 5, 5, 1, False, False, False, 0)], "query_id long, kind string, seg_ix int, ref string, start long, end long, strand int, fuzzy_low boolean, fuzzy_high boolean, uncertain boolean, run int")
+    block = spark.createDataFrame([(0, "x", 0, "y", 100, 9, False)], "ix long, src_ref string, src long, tgt_ref string, tgt long, len long, rev boolean")
+    (at,) = cv.target_segments(cv.hits(one, block, ["query_id"]), ["query_id"]).collect()
+    assert (at["start"], at["end"]) == (105, 105)
+
+
+def test_round_trips_count_images_without_a_shuffle_of_their_own(spark):
+    blocks = tb.blocks(spark, "/root/testdata/sf0.001").withColumn("edge_key", F.concat_ws(":", "src_ref", "tgt_ref"))
+    plan = round_trips(blocks, ["edge_key"], ladder=(6,))._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan
