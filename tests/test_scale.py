@@ -107,3 +107,11 @@ def test_round_trips_count_images_without_a_shuffle_of_their_own(spark):
     blocks = tb.blocks(spark, "/root/testdata/sf0.001").withColumn("edge_key", F.concat_ws(":", "src_ref", "tgt_ref"))
     plan = round_trips(blocks, ["edge_key"], ladder=(6,))._jdf.queryExecution().executedPlan().toString()
     assert "count(distinct" not in plan
+
+
+def test_lines_with_a_carried_state_are_shuffled_once(spark):
+    lines = lines_of(spark, ["LOCUS x", "a", "b", "LOCUS y", "c"])
+    marks = {"rec": F.when(F.col("value").startswith("LOCUS"), F.col("value"))}
+    told = ordered.carry_last(lines, ["file"], ["place"], marks, F.col("place.split"))
+    assert shuffles(told) <= 3  # the lines, and twice a row per split
+    assert [r["rec"] for r in told.orderBy("place").collect()] == ["LOCUS x"] * 3 + ["LOCUS y"] * 2
