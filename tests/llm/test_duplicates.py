@@ -168,6 +168,40 @@ def test_near_passages(spark):
     assert near_passages(table(spark, [])).count() == 0
 
 
+def family(seed, n, most):
+    """Texts that hold one passage of 80 words with up to ``most`` replaced words, each between words of its own."""
+    rng, passage = np.random.default_rng(seed), prose(seed, 80).split()
+    texts = []
+    for k in range(n):
+        w = list(passage)
+        for at in rng.choice(80, rng.integers(0, most + 1), replace=False):
+            w[at] = f"new{seed}x{k}x{at}"
+        texts.append(" ".join([prose(seed * 1000 + 2 * k, int(rng.integers(0, 60))), *w, prose(seed * 1000 + 2 * k + 1, int(rng.integers(0, 60)))]))
+    return texts
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_near_passages_of_families(spark, parts):
+    """Every two texts of a family that the verification joins are in one class, also where most do not join the first."""
+    texts = [x for seed in (41, 42, 43, 44) for x in family(seed, 24, 5)]
+    hashes = [shingle_hashes(x.encode()) for x in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if i // 24 == j // 24 and verified(hashes[i], hashes[j], LEAST, SIMILARITY)]
+    want = labels_of(range(len(texts)), near)
+    rows = near_passages(table(spark, texts).repartition(parts, "doc_id")).collect()
+    assert {tuple(sorted((r["other_id"], r["doc_id"]), reverse=True)) for r in rows} <= set(near)
+    got = labels_of(range(len(texts)), [(r["doc_id"], r["other_id"]) for r in rows])
+    joined = [got[i] == got[j] for i in range(len(texts)) for j in range(i) if want[i] == want[j]]
+    assert np.mean(joined) >= 0.98
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {n: got[n] for r in rows for n in [r["doc_id"]]}
+
+
+def test_near_passages_at_two_places(spark):
+    passage = prose(51, 70)
+    twice = " ".join([prose(52, 80), passage, prose(53, 150), passage, prose(54, 80)])
+    rows = near_passages(table(spark, [twice, prose(55, 40) + " " + passage])).collect()
+    assert sorted(r["other_start"] // 10 for r in rows) == [8, 30]
+
+
 def similar_intervals(a, b, least, similarity):
     """Whether any interval of ``a`` and any of ``b``, of ``least`` shingles or more, are similar enough."""
     cuts = lambda x: [set(x[lo:hi].tolist()) for lo in range(len(x)) for hi in range(lo + least, len(x) + 1)]
