@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from coordweave.functions import sequences as seqs
@@ -8,7 +10,7 @@ from coordweave.operators.ordered import consecutive_groups, running_sum, union_
 from coordweave.operators.overlap import measured_ladder, overlap_join
 from coordweave.operators.pages import following, nth, paged
 from coordweave.operators.residues import alignment_identity, block_mismatches, slices, tiles
-from coordweave.operators.validate import align_pair
+from coordweave.operators.validate import align_pair, fill
 from coordweave.operators.verify import round_trips
 from coordweave.sources.alignments import one_to_one
 
@@ -129,6 +131,21 @@ def test_protein_alignment():
     assert align_pair(a, a) == ([(0, 0, 189)], 189, 189, []) and align_pair("AAAA", "CCCC") is None
 
 
+def test_isolated_changes_take_no_scores():
+    """Two changes in sides of one length are aligned along the diagonal, and a long stretch costs no square."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x = rng.integers(0, 3, rng.integers(1, 12)).astype(np.uint8)
+        y = x.copy()
+        y[rng.integers(0, len(x), 2)] = 7
+        assert fill(x, y, False, False).tolist() == [[i, i] for i in range(len(x))]
+    x = rng.integers(0, 20, 40_000).astype(np.uint8)
+    y = x.copy()
+    y[[100, 30_000]] = 77
+    begin = time.process_time()
+    assert len(fill(x, y, False, False)) == len(x) and time.process_time() - begin < 1
+
+
 def test_records_merge_in_store_order(spark):
     rows = [("r", 1, 0, "protein", 0, ["b"], None), ("r", 0, 0, None, 0, ["a"], "SQ.x"), ("r", 2, 0, "DNA", 9, ["a", "c"], "SQ.y"), ("s", 0, 1, "DNA", 5, [], "SQ.x"), ("t", 0, 2, "DNA", 5, [], "SQ.x")]
     df = spark.createDataFrame(rows, "ref string, store_ord int, rec_ord long, moltype string, length long, tags array<string>, digest string")
