@@ -146,6 +146,26 @@ def test_isolated_changes_take_no_scores():
     assert len(fill(x, y, False, False)) == len(x) and time.process_time() - begin < 1
 
 
+def test_long_stretches_are_scored_near_the_diagonal():
+    """No worse than with an end that needs all scores, and a long stretch of many changes costs no square."""
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        x = rng.integers(0, 3, 60).astype(np.uint8)
+        y = x.copy()
+        y[20:24] = np.roll(y[20:24], 1)
+        y[rng.integers(0, 60, 4)] = 7
+        i, j = fill(x, y, False, False).T
+        k, m = fill(np.append(x, 9), np.append(y, [9, 9]), False, False)[:-1].T
+        score = lambda p, q: 3 * int((x[p] == y[q]).sum()) - len(p) - 4 * (60 - len(p))
+        inside = m < 60
+        assert score(i, j) >= score(k[inside], m[inside])
+    x = np.zeros(20_000, np.uint8)
+    y = x.copy()
+    y[49::500] = 7
+    begin = time.process_time()
+    assert len(fill(x, y, False, False)) == len(x) and time.process_time() - begin < 4
+
+
 def test_records_merge_in_store_order(spark):
     rows = [("r", 1, 0, "protein", 0, ["b"], None), ("r", 0, 0, None, 0, ["a"], "SQ.x"), ("r", 2, 0, "DNA", 9, ["a", "c"], "SQ.y"), ("s", 0, 1, "DNA", 5, [], "SQ.x"), ("t", 0, 2, "DNA", 5, [], "SQ.x")]
     df = spark.createDataFrame(rows, "ref string, store_ord int, rec_ord long, moltype string, length long, tags array<string>, digest string")
