@@ -5,7 +5,9 @@ import pytest
 import xxhash
 from coordweave.llm import run_index
 from coordweave.llm.common import components
-from coordweave.llm.compact_windows import LEAST, SIMILARITY, compact_windows, near_passages, shingle_hashes, verified
+from coordweave.llm.compact_windows import (
+    LEAST, SIMILARITY, compact_windows, near_passages, packed, place_before, shared_enough, shingle_hashes, stretches, text_store, unpacked, verified,
+)
 from coordweave.llm.embedding_join import near_vectors
 from coordweave.llm.run_index import RunIndex, drop_repeats, repeat_digests
 from coordweave.llm.simhash import ball_links, drop_near_duplicates, near_duplicates
@@ -202,6 +204,47 @@ def test_near_passages_at_two_places(spark):
     assert sorted(r["other_start"] // 10 for r in rows) == [8, 30]
 
 
+def test_texts_are_shuffled_once(spark):
+    """What is asked of texts goes to where they lie; a join that shuffles them again takes the disk of a run beyond its limit."""
+    docs = table(spark, [prose(n, 80) for n in range(20)]).selectExpr("doc_id AS rid", "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = text_store(docs, docs.where("rid <> 3").select("rid"), 3, LEAST)
+        pairs = spark.createDataFrame([(0, 1, 0, 60, 2, 5, 70), (1, 4, 7, 60, 2, 0, 50)], "pair long, a long, a_from long, a_to long, b long, b_from long, b_to long")
+        sides = stretches(texts, pairs, 3)
+        plan = sides._jdf.queryExecution().executedPlan().toString()
+        got = {(r["pair"], r["side"]): (r["start"], len(r["shingles"]) // 6) for r in sides.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    assert got == {(0, 0): (0, 60), (0, 1): (5, 65), (1, 0): (7, 53), (1, 1): (0, 50)}
+    assert sorted(r["rid"] for r in texts.collect()) == [n for n in range(20) if n != 3]
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 500):
+        columns = [np.sort(rng.integers(-(1 << 63), 1 << 63, n)) // 7 * 7, rng.integers(0, 1 << 48, n), rng.integers(0, 1 << 31, n).astype(np.int32)]
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(columns, unpacked(packed(columns, [6, 4]), [6, 4]), strict=True))
+
+
+def test_windows_stay_open_by_distinct_shingles():
+    """A word that many texts repeat is one shingle: it keeps no window open, so its texts do not all meet."""
+    rng, least = np.random.default_rng(9), 12
+    found = []
+    for _ in range(300):
+        data = rng.integers(0, int(rng.integers(3, 40)), int(rng.integers(10, 40)))
+        shared = rng.random(40) < 0.8
+        left, place, right = sorted(rng.integers(0, len(data), 3).tolist())
+        cuts = [np.unique(data[i : j + 1]) for i in range(left, place + 1) for j in range(max(place, i + least - 1), right + 1)]
+        want = any(shared[x].mean() >= SIMILARITY - 1e-9 for x in cuts)
+        _, inverse, times = np.unique(data, return_inverse=True, return_counts=True)
+        assert shared_enough(shared[data], times[inverse] == 1, place_before(data), left, place, right, least, SIMILARITY) == want
+        found.append(want)
+    assert 20 < sum(found) < 280
+
+
 def similar_intervals(a, b, least, similarity):
     """Whether any interval of ``a`` and any of ``b``, of ``least`` shingles or more, are similar enough."""
     cuts = lambda x: [set(x[lo:hi].tolist()) for lo in range(len(x)) for hi in range(lo + least, len(x) + 1)]
