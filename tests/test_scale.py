@@ -115,3 +115,26 @@ def test_lines_with_a_carried_state_are_shuffled_once(spark):
     told = ordered.carry_last(lines, ["file"], ["place"], marks, F.col("place.split"))
     assert shuffles(told) <= 3  # the lines, and twice a row per split
     assert [r["rec"] for r in told.orderBy("place").collect()] == ["LOCUS x"] * 3 + ["LOCUS y"] * 2
+
+
+def test_flat_file_features_are_put_together_once(spark, monkeypatch):
+    """The state of a line is found without sorting all lines by split, and features are read from where they were written."""
+    text = ["LOCUS       NC_1   9 bp    DNA     linear   PRI 01-JAN-2024", "DEFINITION  One", "            line.", "VERSION     NC_1.1", "COMMENT     x", "     gene            9", "FEATURES             Location/Qualifiers"]
+    text += ["     source          1..9", "                     /organism=\"A", "                     b\"", "     gene            2..", "                     3\r", "                     /pseudo", "ORIGIN", "        1 acg tac", "//", "     gene            4"]
+    plans, found, cut = [], [], features.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(features, "cut_lineage", seen)
+    for many in (1 << 18, 0):
+        monkeypatch.setattr(ordered, "MANY", many)
+        made = features.parse_genbank(lines_of(spark, text * 2))
+        assert "SortAggregate" not in plans[0 if many else len(plans) // 2] and shuffles(made.features) == 0
+        found.append([sorted(map(repr, df.drop("file", "rec").collect())) for df in (made.records, made.features, made.residues)])
+    records, listed, residues = found[0]
+    assert found[0] == found[1] and len(records) == 2 and len(residues) == 2
+    assert sorted(set(listed)) == [
+        "Row(key='gene', location='2..3', qualifiers=[Row(name='pseudo', value='')], f_ix=1)", "Row(key='source', location='1..9', qualifiers=[Row(name='organism', value='A b')], f_ix=0)",
+    ]
