@@ -138,3 +138,12 @@ def test_flat_file_features_are_put_together_once(spark, monkeypatch):
     assert sorted(set(listed)) == [
         "Row(key='gene', location='2..3', qualifiers=[Row(name='pseudo', value='')], f_ix=1)", "Row(key='source', location='1..9', qualifiers=[Row(name='organism', value='A b')], f_ix=0)",
     ]
+
+
+def test_round_trips_shuffle_two_flags_a_unit(spark):
+    blocks = [("e", 0, "a", 0, "x", 0, 3, False), ("e", 1, "a", 3, "x", 0, 3, False), ("e", 2, "a", 6, "x", 9, 3, True), ("e", 3, "a", 6, "x", 9, 3, True), ("e", 4, "b", 6, "y", 9, 2, True)]
+    df = spark.createDataFrame(blocks, "edge_key string, ix long, src_ref string, src long, tgt_ref string, tgt long, len long, rev boolean")
+    found = round_trips(df, ["edge_key"], ladder=(6,))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    # Two blocks share an image and come back twice, one stands there twice and comes back as itself.
+    assert [tuple(r) for r in found.collect()] == [("e", 14, 14, 8)]
